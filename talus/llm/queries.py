@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm import near_duplicates
+from talus.llm import leakage, near_duplicates, packing, splitting
 from talus.sources.tables import table
 
 
@@ -21,6 +21,31 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumnRenamed("id", "chunk_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_groups": p1_groups}
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_oversized(table(spark, d, "document_chunk"))
 
-ORACLES: dict[str, str] = {}
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_pieces(spark, d).where("piece_no = 0").select("chunk_id")
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(table(spark, d, "documents"))
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_passages(table(spark, d, "documents"), table(spark, d, "rag_golden"), "case_id", ["query", "expected_answer"])
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_report(spark, d).select("doc_id", "case_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p8_containers": p8_containers,
+    "p9_found": p9_found, "p9_report": p9_report,
+}
+
+ORACLES: dict[str, str] = {
+    "p4_found": "select distinct chunk_id from document_chunk where length(content) > 1200",
+}
