@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm import leakage, near_duplicates, packing, splitting
+from talus.llm import leakage, near_duplicates, neighbours, packing, splitting
 from talus.sources.tables import table
 
 
@@ -29,6 +29,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_pieces(spark, d).where("piece_no = 0").select("chunk_id")
 
 
+def p7_nearest(spark: SparkSession, d: str) -> DataFrame:
+    near = neighbours.nearest(table(spark, d, "knowledge_section"), "section_id", "embedding", k=5, version_col="created_at")
+    return near.withColumnsRenamed({"id": "section_id", "neighbour_id": "neighbour_section_id"})
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    a, b = F.col("section_id"), F.col("neighbour_section_id")
+    near = p7_nearest(spark, d).where("cosine >= 0.95")
+    return near.select(F.least(a, b).alias("section_id_a"), F.greatest(a, b).alias("section_id_b")).distinct()
+
+
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"))
 
@@ -42,7 +53,8 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p8_containers": p8_containers,
+    "p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p7_found": p7_found, "p7_nearest": p7_nearest,
+    "p8_containers": p8_containers,
     "p9_found": p9_found, "p9_report": p9_report,
 }
 
