@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm import leakage, near_duplicates, neighbours, packing, splitting
+from talus.llm import leakage, near_duplicates, neighbours, packing, pii, splitting
 from talus.sources.tables import table
 
 
@@ -29,6 +29,15 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_pieces(spark, d).where("piece_no = 0").select("chunk_id")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    found = pii.find_pii(table(spark, d, "tickets"), "ticket_id", ["subject", "description"], "ingest_ts")
+    return found.select("ticket_id", "field_name", "pii_kind", "start_at")
+
+
+def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact_table(table(spark, d, "tickets"), "ticket_id", ["subject", "description"], b"test key; a deployment passes its own", "ingest_ts")
+
+
 def p7_nearest(spark: SparkSession, d: str) -> DataFrame:
     near = neighbours.nearest(table(spark, d, "knowledge_section"), "section_id", "embedding", k=5, version_col="created_at")
     return near.withColumnsRenamed({"id": "section_id", "neighbour_id": "neighbour_section_id"})
@@ -53,7 +62,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p7_found": p7_found, "p7_nearest": p7_nearest,
+    "p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_nearest": p7_nearest,
     "p8_containers": p8_containers,
     "p9_found": p9_found, "p9_report": p9_report,
 }
