@@ -85,11 +85,15 @@ class Item:
 
 
 def name_evidence(text: str) -> list[tuple[str, str]]:
-    """(given, follower) pairs, lower-cased, at places where names stand."""
+    """(given, follower) pairs, lower-cased, at places where names stand and in e-mail addresses (there both ways round)."""
     out = []
     for m in _CUE.finditer(text):
         a, sep, b = m[1].lower(), m[2], m[3].lower()
         out.append((b, a) if "," in sep else (a, b))
+    if "@" in text:
+        for m in EMAIL.finditer(text):
+            parts = [p for p in re.findall(rf"{_LETTERS}{{3,}}", re.split(r"@|[(\[{]|\s", m[0])[0].lower())][:2]
+            out += [tuple(parts), tuple(parts[::-1])] if len(parts) == 2 else []
     return [p for p in out if not _TITLE.fullmatch(p[0])]
 
 
@@ -113,7 +117,8 @@ def find_names(text: str, names: Names) -> Iterator[Item]:
                 at = m.start() + len(m[1])
                 continue
             cued = bool(_CUED_PLACE.search(text[max(0, m.start() - 24) : m.start()]))
-            new = cued and _case(given) in ("title", "upper") and given.lower() not in names.ordinary and not _TITLE.fullmatch(given)
+            initial = given_at == 1 and ". " in m[0]
+            new = (cued or initial) and _case(given) in ("title", "upper") and given.lower() not in names.ordinary and not _TITLE.fullmatch(given)
             if (known or new) and (given_at == 1 or _case(surname) != "lower" or cued):
                 yield Item("person", m.start(), m.end())
                 at = m.end()
