@@ -92,7 +92,7 @@ def name_evidence(text: str) -> list[tuple[str, str]]:
         out.append((b, a) if "," in sep else (a, b))
     if "@" in text:
         for m in EMAIL.finditer(text):
-            parts = [p for p in re.findall(rf"{_LETTERS}{{3,}}", re.split(r"@|[(\[{]|\s", m[0])[0].lower())][:2]
+            parts = [p for p in re.findall(rf"{_LETTERS}{{3,}}", re.split(r"[@+(\[{\s]", m[0])[0].lower())][:2]
             out += [tuple(parts), tuple(parts[::-1])] if len(parts) == 2 else []
     return [p for p in out if not _TITLE.fullmatch(p[0])]
 

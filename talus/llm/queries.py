@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm import leakage, near_duplicates, neighbours, packing, pii, splitting
+from talus.llm import leakage, near_duplicates, neighbours, ocr_repair, packing, pii, splitting
 from talus.sources.tables import table
 
 
@@ -21,6 +21,14 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumnRenamed("id", "chunk_id")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return ocr_repair.found_noise(table(spark, d, "parsed_section"))
+
+
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return ocr_repair.repaired_sections(table(spark, d, "parsed_section"))
+
+
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "document_chunk"))
 
@@ -62,7 +70,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_nearest": p7_nearest,
+    "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_repaired": p2_repaired, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_nearest": p7_nearest,
     "p8_containers": p8_containers,
     "p9_found": p9_found, "p9_report": p9_report,
 }
