@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm import leakage, near_duplicates, neighbours, ocr_repair, packing, pii, splitting
+from talus.llm import leakage, near_duplicates, neighbours, ocr_repair, packing, pii, reading_level, splitting
 from talus.sources.tables import table
 
 
@@ -69,10 +69,14 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_report(spark, d).select("doc_id", "case_id")
 
 
+def p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading_level.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_rating"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_repaired": p2_repaired, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_nearest": p7_nearest,
     "p8_containers": p8_containers,
-    "p9_found": p9_found, "p9_report": p9_report,
+    "p9_found": p9_found, "p9_report": p9_report, "p10_levels": p10_levels,
 }
 
 ORACLES: dict[str, str] = {

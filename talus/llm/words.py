@@ -12,8 +12,9 @@ import numpy as np
 _RNG = np.random.Generator(np.random.PCG64(20260117))
 _BYTE = _RNG.integers(1, 2**64 - 1, 256, dtype=np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)
-_ALNUM = np.zeros(256, bool)
-_ALNUM[[*range(48, 58), *range(97, 123)]] = True
+ALNUM, LETTERS = np.zeros(256, bool), np.zeros(256, bool)
+ALNUM[[*range(48, 58), *range(97, 123)]] = True
+LETTERS[[*range(97, 123), *range(128, 256)]] = True
 #: Bytes of text handled at once; arrays of eight bytes per text byte stay small.
 BLOCK = 1 << 20
 
@@ -38,11 +39,11 @@ def blocks(texts: Sequence[str | None]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, held
 
 
-def word_hashes(encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words in order, and the index of each word's text."""
+def word_hashes(encoded: list[bytes], alphabet: np.ndarray = ALNUM) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (maximal runs of the alphabet's bytes) in order, and the index of each word's text."""
     buf = np.frombuffer(b" ".join(encoded) + b" ", np.uint8)
     at = np.cumsum([0, *[len(e) + 1 for e in encoded]])
-    mask = _ALNUM[buf]
+    mask = alphabet[buf]
     edge = np.flatnonzero(np.diff(mask.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
