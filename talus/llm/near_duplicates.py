@@ -1,16 +1,17 @@
 """Near-duplicate records: generalised pigeonhole search over min-hash bits, verified on the texts.
 
 1. Every text becomes the set of its runs of ``k`` consecutive words. Texts with equal word sequences are one class from here on.
-2. The set's sketch is ``PARTITIONS * WIDTH`` min-hash values plus ``BITS`` bits, one from each of further min-hashes. The bits of one min-hash value agree or differ
-   together, so these correlated bits are kept in one group; a partition is the bits of WIDTH values.
-3. Generalised pigeonhole: a pair whose sketches are close must agree in some partition up to that partition's threshold. Thresholds are unequal and chosen per record:
-   -1 (not probed) or 0 (probed for equality). Dynamic programming takes the cheapest choice, by estimated candidate counts, that still probes
-   enough partitions for the wanted recall. The estimates come from a histogram of all records' keys with a fixed number of buckets.
-4. Probe: records meet on equal keys if one of them probes there; their BITS bits must be within a Hamming radius (checked inside the join, so few pairs leave it).
+2. The set's sketch is the bits of its min-hash values. The bits of one value agree or differ together, so these correlated bits stay in one
+   group; a partition is the bits of three or of four values (WIDTHS), and a separate bit of each of BITS values makes up the record's code.
+3. Generalised pigeonhole: a similar pair must agree in one of the probed partitions. The partitions' thresholds are unequal: -1 (not probed)
+   or 0 (probed for equality). Dynamic programming picks those that together reach the wanted recall at the least number of index rows and
+   estimated candidate pairs; the estimates come from a histogram, of fixed size, of all records' keys. A small table is searched by
+   few narrow partitions, a large one by more of the wide ones, whose candidates grow more slowly.
+4. Probe: records that agree in a probed partition meet; their codes must lie within a Hamming radius (checked inside the join, so few pairs leave it).
 5. Verify: the exact similarity of the two texts decides.
 
-At the default threshold 0.8 on five-word runs, or 0.6 on three, a pair exactly at the threshold is missed with the probability ``miss_rate``
-gives (about 0.006 at 0.6, below 1e-6 at 0.8); nothing below the threshold is returned. Tables of any size broadcast the same one MB.
+A pair exactly at the threshold is missed with a probability of at most MISS plus that of the radius (3.4 standard deviations, 0.0004); it falls
+steeply above the threshold. Nothing below the threshold is returned.
 """
 
 from __future__ import annotations
@@ -25,26 +26,48 @@ from pyspark.sql import functions as F
 from talus.llm.words import blocks, mix, shingles, word_hashes
 from talus.session import stage_table
 
-PARTITIONS, WIDTH, BITS = 24, 3, 128
-#: Partitions that a record must probe at least.
-PROBES = 20
-#: Buckets of the candidate-count histogram, and slices in which it is added up.
-BUCKETS, SLICES = 1 << 18, 64
+#: Min-hash values in each partition, and bits of a record's code.
+WIDTHS, BITS = [3] * 26 + [4] * 24, 128
+#: Probability that a pair at the threshold agrees in no probed partition.
+MISS = 0.002
+#: Buckets of each partition's key histogram; all histograms together are len(WIDTHS) * 4 * BUCKETS bytes.
+BUCKETS = 8192
+#: What an index row costs, in candidate pairs; steps of recall that the dynamic programming tells apart.
+ROW_COST, STEPS = 1.0, 400
 _RNG = np.random.Generator(np.random.PCG64(7))
-_A = _RNG.integers(0, 2**63, PARTITIONS * WIDTH + BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 2**64 - 1, PARTITIONS * WIDTH + BITS, dtype=np.uint64)
-SKETCH = "fp long, fp2 long, n_words int, keys array<long>, s0 long, s1 long"
+_A = _RNG.integers(0, 2**63, sum(WIDTHS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _RNG.integers(0, 2**64 - 1, sum(WIDTHS), dtype=np.uint64)
+SKETCH = "fp long, fp2 long, n_words int, keys array<int>, s0 long, s1 long"
 
 
 def radius(threshold: float) -> int:
-    """Hamming radius of the bits: 3.4 standard deviations above the mean distance at the threshold."""
+    """Hamming radius of the codes: 3.4 standard deviations above the mean distance at the threshold."""
     p = (1 - threshold) / 2
     return int(BITS * p + 3.4 * (BITS * p * (1 - p)) ** 0.5)
 
 
-def miss_rate(similarity: float, probes: int = PROBES) -> float:
-    """Probability that no probed partition of a pair agrees."""
-    return (1 - similarity**WIDTH) ** probes
+def allocate(costs: np.ndarray, threshold: float, miss: float = MISS) -> list[int]:
+    """The partitions with threshold 0; all others have -1. costs: index rows and candidate pairs of each partition.
+
+    gain_i = -log P(a pair at the similarity threshold differs in partition i); least[j] is the least cost of a choice whose gains add up to j steps or more.
+    """
+    need = -np.log(miss)
+    steps = [int(-np.log1p(-(threshold**w)) / need * STEPS) for w in WIDTHS]
+    if sum(steps) < STEPS:
+        raise ValueError(f"these partitions cannot find pairs of similarity {threshold} with a miss rate of {miss}")
+    least = np.full(STEPS + 1, np.inf)
+    least[0] = 0
+    took = np.zeros((len(WIDTHS), STEPS + 1), bool)
+    for i, (g, c) in enumerate(zip(steps, costs, strict=True)):
+        before = least[np.maximum(np.arange(STEPS + 1) - g, 0)] + c
+        took[i] = before < least
+        least = np.minimum(least, before)
+    chosen, j = [], STEPS
+    for i in range(len(WIDTHS) - 1, -1, -1):
+        if took[i, j]:
+            chosen.append(i)
+            j = max(j - steps[i], 0)
+    return chosen[::-1]
 
 
 def sketch(texts: list[str | None], k: int) -> pd.DataFrame:
@@ -68,15 +91,17 @@ def sketch(texts: list[str | None], k: int) -> pd.DataFrame:
         if len(have):
             for i, (a, b) in enumerate(zip(_A, _B, strict=True)):
                 low[i] = np.minimum.reduceat((s ^ b) * a, starts)
-        m = PARTITIONS * WIDTH
-        keys = np.zeros((PARTITIONS, len(have)), np.uint64)
-        for j in range(WIDTH):
-            keys = keys * np.uint64(0x9E3779B97F4A7C15) + low[j:m:WIDTH]
-        keys = mix(keys + np.arange(1, PARTITIONS + 1, dtype=np.uint64)[:, None]).view(np.int64).T
-        bits = ((low[m:] >> np.uint64(17)) & np.uint64(1)).astype(np.uint64)
+        keys = np.zeros((len(WIDTHS), len(have)), np.uint64)
+        at = 0
+        for i, w in enumerate(WIDTHS):
+            for j in range(at, at + w):
+                keys[i] = keys[i] * np.uint64(0x9E3779B97F4A7C15) + low[j]
+            at += w
+        keys = (mix(keys) >> np.uint64(32)).astype(np.uint32).view(np.int32).T
+        bits = (low[:BITS] >> np.uint64(17)) & np.uint64(1)
         weights = (np.uint64(1) << np.arange(64, dtype=np.uint64))[:, None]
         words = [(bits[i : i + 64] * weights).sum(0, dtype=np.uint64).view(np.int64) for i in (0, 64)]
-        rows: list[np.ndarray] = [np.zeros(0, np.int64)] * n
+        rows: list[np.ndarray] = [np.zeros(0, np.int32)] * n
         ss = np.zeros((2, n), np.int64)
         for i, d in enumerate(have):
             rows[d] = keys[i]
@@ -85,98 +110,75 @@ def sketch(texts: list[str | None], k: int) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({c.split()[0]: [] for c in SKETCH.split(", ")})
 
 
-def _bucket(keys: np.ndarray) -> np.ndarray:
-    return (keys.view(np.uint64) % np.uint64(BUCKETS)).astype(np.int64)
-
+def candidate_pairs(sketched: DataFrame) -> tuple[int, np.ndarray]:
+    """Records with keys, and for each partition the estimated number of pairs with equal keys.
 
-def candidate_counts(reps: DataFrame) -> np.ndarray:
-    """Records per key bucket; 4 * BUCKETS bytes reach the driver whatever the table's size."""
+    The sum of n * n over the buckets counts equal pairs plus those that share a bucket by chance, which are taken off.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(BUCKETS, np.int64)
+        total = np.zeros((len(WIDTHS), BUCKETS), np.int64)
         for b in batches:
             if len(b):
-                total += np.bincount(_bucket(np.concatenate(b["keys"].to_list())), minlength=BUCKETS)
-        yield pd.DataFrame({"slice": range(SLICES), "n": [x.tobytes() for x in np.split(np.minimum(total, 2**31 - 1).astype(np.int32), SLICES)]})
+                keys = np.stack(b["keys"].to_list()).view(np.uint32) % np.uint32(BUCKETS)
+                for i in range(len(WIDTHS)):
+                    total[i] += np.bincount(keys[:, i], minlength=BUCKETS)
+        yield pd.DataFrame({"part": range(len(WIDTHS)), "n": [x.tobytes() for x in total]})
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
-        n = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in part.n)
-        return pd.DataFrame({"slice": [part.slice.iloc[0]], "n": [np.minimum(n, 2**31 - 1).astype(np.int32).tobytes()]})
+        return pd.DataFrame({"part": [part.part.iloc[0]], "n": [sum(np.frombuffer(x, np.int64) for x in part.n).tobytes()]})
 
-    schema = "slice int, n binary"
-    rows = reps.select("keys").mapInPandas(count, schema).groupBy("slice").applyInPandas(add, schema).collect()
-    out = np.zeros(BUCKETS, np.int32)
+    rows = sketched.select("keys").mapInPandas(count, "part int, n binary").groupBy("part").applyInPandas(add, "part int, n binary").collect()
+    table = np.zeros((len(WIDTHS), BUCKETS))
     for r in rows:
-        out[r.slice * (BUCKETS // SLICES) : (r.slice + 1) * (BUCKETS // SLICES)] = np.frombuffer(r.n, np.int32)
-    return out
-
-
-def allocate(cost: np.ndarray, probes: int) -> np.ndarray:
-    """Thresholds per record (rows) and partition (columns): True for 0, False for -1, with at least ``probes`` zeros and the least total cost.
-
-    best[j] is the least cost of j zeros among the partitions seen so far; partitions whose key nobody else has cost nothing and are all probed.
-    """
-    n, m = cost.shape
-    best = np.full((n, probes + 1), np.inf)
-    best[:, 0] = 0
-    took = np.zeros((m, n, probes + 1), bool)
-    for i in range(m):
-        with_i = np.concatenate([np.full((n, 1), np.inf), best[:, :-1] + cost[:, i : i + 1]], axis=1)
-        took[i] = with_i < best
-        best = np.minimum(best, with_i)
-    zero = np.zeros((n, m), bool)
-    left = np.full(n, probes)
-    for i in range(m - 1, -1, -1):
-        t = took[i][np.arange(n), left] & (left > 0)
-        zero[t, i] = True
-        left[t] -= 1
-    return zero | (cost <= 1)
+        table[r.part] = np.frombuffer(r.n, np.int64)
+    n = table[0].sum()
+    return int(n), np.maximum(0, (table**2).sum(1) - n - n * (n - 1) / BUCKETS) / 2
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, version_col: str | None, k: int) -> DataFrame:
-    """One sketch row per id, of its last version (ties: the larger fingerprint); rows without id are no records."""
-    cols = [F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), (F.col(version_col).cast("timestamp") if version_col else F.lit(None).cast("timestamp")).alias("v")]
+    """One sketch per row with an id."""
+    version = F.col(version_col).cast("timestamp") if version_col else F.lit(None).cast("timestamp")
+    cols = [F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), version.alias("v")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            s = sketch(b.text.to_list(), k)
-            yield pd.concat([b[["id", "v"]].reset_index(drop=True), s.reset_index(drop=True)], axis=1)
+            yield pd.concat([b[["id", "v"]].reset_index(drop=True), sketch(b.text.to_list(), k).reset_index(drop=True)], axis=1)
 
-    raw = docs.select(*cols).where(F.col("id").isNotNull()).mapInPandas(run, f"id string, v timestamp, {SKETCH}")
-    body = F.struct("fp", "fp2", "n_words", "keys", "s0", "s1")
-    return raw.groupBy("id").agg(F.max_by(body, F.struct("v", "fp", "fp2")).alias("s")).select("id", "s.*")
+    return docs.select(*cols).where(F.col("id").isNotNull()).mapInPandas(run, f"id string, v timestamp, {SKETCH}")
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", version_col: str | None = None, k: int = 5, threshold: float = 0.8, min_words: int = 1) -> tuple[DataFrame, DataFrame]:
     """(members, links): members(id, class_id, n_words) with the exact-copy class of every record of at least min_words words and
     links(class_a, class_b, similarity), class_a < class_b, between classes of similarity ``threshold`` or more. A class is named by its smallest id.
 
-    Null and empty texts have no words; with fewer than max(min_words, k) words a record is in members only if min_words allows and in no link. Records delivered again count once,
-    as their last version. Extra columns are ignored. Empty tables give empty results.
+    Null and empty texts have no words; a record of fewer than k words is in no link, one of fewer than min_words in no class. Records delivered again count once,
+    as their last version (ties: the larger fingerprint). Extra columns are ignored. Empty tables give empty results.
     """
-    all_rows = sketches(docs, id_col, text_col, version_col, k)
-    s = stage_table(all_rows.where(F.col("n_words") >= min_words), "sketches")
-    classes = s.groupBy("fp", "fp2").agg(F.min("id").alias("class_id"))
-    members = s.select("id", "fp", "fp2", "n_words").join(classes, ["fp", "fp2"])
-    reps = s.where(F.size("keys") > 0).groupBy("fp", "fp2").agg(F.first("keys").alias("keys"), F.first("s0").alias("s0"), F.first("s1").alias("s1"))
-    counts = s.sparkSession.sparkContext.broadcast(candidate_counts(s.where(F.size("keys") > 0)))
-
-    def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    s = stage_table(sketches(docs, id_col, text_col, version_col, k), "sketches")
+    last = s.groupBy("id").agg(F.max_by(F.struct("fp", "fp2", "n_words"), F.struct("v", "fp", "fp2")).alias("s")).select("id", "s.*").where(F.col("n_words") >= min_words)
+    members = last.join(last.groupBy("fp", "fp2").agg(F.min("id").alias("class_id")), ["fp", "fp2"])
+    named = stage_table(members, "members")
+    keyed = s.where((F.size("keys") > 0) & (F.col("n_words") >= min_words))
+    n, candidates = candidate_pairs(keyed)
+    probed = allocate(ROW_COST * n + candidates, threshold)
+    reps = keyed.groupBy("fp", "fp2").agg(F.first("keys").alias("keys"), F.first("s0").alias("s0"), F.first("s1").alias("s1"))
+    reps = reps.join(named.select("fp", "fp2").distinct(), ["fp", "fp2"], "left_semi")
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for lo in range(0, len(b), 2000):
                 c = b.iloc[lo : lo + 2000]
-                keys = np.stack(c["keys"].to_list())
-                zero = allocate(counts.value[_bucket(keys.ravel())].reshape(keys.shape).astype(float), PROBES)
-                each = lambda x: np.repeat(x.to_numpy(), PARTITIONS)
-                yield pd.DataFrame({"key": keys.ravel(), "fp": each(c.fp), "s0": each(c.s0), "s1": each(c.s1), "probe": zero.ravel()})
+                keys = np.stack(c["keys"].to_list())[:, probed].view(np.uint32).astype(np.int64) + (np.array(probed, np.int64) << 32)
+                each = lambda x: np.repeat(x.to_numpy(), len(probed))
+                yield pd.DataFrame({"key": keys.ravel(), "fp": each(c.fp), "s0": each(c.s0), "s1": each(c.s1)})
 
-    index = reps.mapInPandas(probes, "key long, fp long, s0 long, s1 long, probe boolean")
+    index = reps.select("keys", "fp", "s0", "s1").mapInPandas(spread, "key long, fp long, s0 long, s1 long")
     a, b = index.alias("a"), index.alias("b")
     close = F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))) + F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) <= radius(threshold)
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & (F.col("a.probe") | F.col("b.probe")) & close)
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & close)
     pairs = stage_table(met.select(F.col("a.fp").alias("fa"), F.col("b.fp").alias("fb")).distinct(), "candidates")
     wanted = pairs.select(F.explode(F.array("fa", "fb")).alias("fp")).distinct()
-    named = stage_table(members, "members")
     used = named.join(wanted, "fp", "left_semi").where(F.col("id") == F.col("class_id")).select("id", "fp", "fp2")
     # the last version's text: a text with another fingerprint is of an older version
     cols = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
