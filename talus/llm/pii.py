@@ -46,7 +46,7 @@ NATIONAL_ID = re.compile(
 )
 _EXT = r"(?:\s?(?:ext\.?|x)\s?\d{1,5})?"
 PHONE = re.compile(
-    rf"(?<![\w.+/-])(?:(?:\+|00)\d{{1,3}}[ ./-]?(?:\(\d{{1,4}}\)[ ./-]?)?\d{{2,11}}(?:[ ./-]\d{{2,5}}){{0,4}}{_EXT}|\(\d{{2,5}}\)[ ]?\d{{3,5}}[ .-]\d{{3,5}}(?:[ .-]\d{{2,4}})?{_EXT}|\d{{3}}([.-])\d{{3}}\1\d{{4}}{_EXT}|0\d{{1,4}}[ /-]\d{{3,8}}(?:[ -]\d{{2,5}}){{0,2}}{_EXT})(?![\w@])(?!-\d)(?!\.\d)",
+    rf"(?<![\w.+/-])(?:(?:\+|00)\d{{1,3}}[ ./-]?(?:\(\d{{1,4}}\)[ ./-]?)?\d{{2,11}}(?:[ ./-]\d{{2,9}}){{0,4}}{_EXT}|\(\d{{2,5}}\)[ ]?\d{{3,5}}[ .-]\d{{3,5}}(?:[ .-]\d{{2,4}})?{_EXT}|\d{{3}}([.-])\d{{3}}\1\d{{4}}{_EXT}|0\d{{1,4}}[ /-]\d{{3,8}}(?:[ -]\d{{2,5}}){{0,2}}{_EXT})(?![\w@])(?!-\d)(?!\.\d)",
     re.I,
 )
 _CAP = r"[A-ZÀ-ÖØ-Þ][^\W\d_]*(?:['’-][^\W\d_]+)*"
@@ -257,7 +257,7 @@ def learn_names(texts: DataFrame, cols: Sequence[str]) -> Names:
             counts: Counter[str] = Counter()
             for row in b[list(cols)].itertuples(index=False):
                 counts.update({w for t in row if isinstance(t, str) for w in WORD.findall(t.lower())})
-            yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
+            yield pd.DataFrame(list(counts.items()), columns=["word", "n"])
 
     def evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -304,7 +304,7 @@ def redact_table(rows: DataFrame, id_col: str, text_cols: Sequence[str], key: by
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            done = {c: [redact(t, find_items(t, shared.value), key) if isinstance(t, str) else None for t in b[c]] for c in cols}
+            done = {c: pd.Series([redact(t, find_items(t, shared.value), key) if isinstance(t, str) else None for t in b[c]], index=b.index, dtype=object) for c in cols}
             yield pd.DataFrame({"id": b.id, **done})
 
     out = last.mapInPandas(run, ", ".join(["id string", *(f"{c} string" for c in cols)]))
