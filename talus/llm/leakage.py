@@ -6,7 +6,9 @@ lists' positions), so it is built in one pass without a shuffle and searched in
 1. adds up how often each test term occurs in the whole index (only the terms and list starts are read for that);
 2. picks in every window of ``n`` test words the rarest term: the anchors;
 3. in each block shifts the anchors' posting lists by the anchors' offsets and intersects them with the lists of the terms beside, which
-   leaves the alignments of test text and document that share a run of words.
+   leaves the alignments of test text and document that share a run of words: exact phrase matches.
+
+Reworded or reordered leaks are found by proximity: documents in which most of a passage's rarest terms stand within a short distance.
 
 The test side is taken in blocks of bounded size; each block is one broadcast.
 """
@@ -142,6 +144,85 @@ def _search_block(test: TestSet, anchors: np.ndarray, n: int, terms: np.ndarray,
     return doc[hit], test.passage[anchor[hit]], total[hit]
 
 
+def _near_block(term: np.ndarray, passage: np.ndarray, bit: np.ndarray, span: np.ndarray, terms: np.ndarray, starts: np.ndarray, positions: np.ndarray, doc_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, passage, most of the passage's wanted terms within its span) in one block; term holds the hashes of wanted terms, bit their places in the passage's set."""
+    none = np.zeros(0, np.int64)
+    if not len(terms) or not len(term):
+        return none, none, none
+    slot = np.searchsorted(terms, term)
+    have = terms[np.minimum(slot, len(terms) - 1)] == term
+    slot, passage, bit = slot[have], passage[have], bit[have]
+    count = np.diff(starts, append=len(positions))[slot]
+    pos = positions[np.repeat(starts[slot] - (np.cumsum(count) - count), count) + np.arange(count.sum())].astype(np.int64)
+    who, bits = np.repeat(passage, count), np.repeat(np.int64(1) << bit, count)
+    order = np.lexsort((pos, who))
+    pos, who, bits = pos[order], who[order], bits[order]
+    doc = np.searchsorted(doc_ends, pos, side="right")
+    seen, live, back = bits.copy(), np.arange(len(pos)), 0
+    while len(live):  # gather the terms that end a window, one place further back each time
+        back += 1
+        live = live[live >= back]
+        at = live - back
+        live = live[(who[at] == who[live]) & (doc[at] == doc[live]) & (pos[live] - pos[at] < span[who[live]])]
+        seen[live] |= bits[live - back]
+    found = np.array([int(x).bit_count() for x in seen], np.int64) if len(seen) else none
+    best = np.lexsort((-found, who, doc))
+    first = best[np.flatnonzero((np.diff(doc[best], prepend=-1) != 0) | (np.diff(who[best], prepend=-1) != 0))] if len(best) else best
+    return doc[first], who[first], found[first]
+
+
+def near_passages(docs: DataFrame, tests: DataFrame, case_col: str, text_cols: Sequence[str], id_col: str = "doc_id", text_col: str = "text", terms: int = 10, share: float = 0.8, stretch: float = 1.5) -> DataFrame:
+    """(id, case_id, terms_found, terms_asked): documents in which at least ``share`` of a test text's ``terms`` rarest distinct words stand within ``stretch`` times the text's length.
+
+    Texts of fewer than ``terms`` distinct words are not looked for. Otherwise as leaked_passages.
+    """
+    index = build_index(docs, id_col, text_col)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def search(rows: list[Row]) -> DataFrame:
+        test = TestSet(rows)
+        counts = term_counts(index, test.terms)
+        asked: list[tuple[int, int, int]] = []
+        span = np.zeros(len(test.case), np.int64)
+        ends = np.searchsorted(test.passage, np.arange(len(test.case) + 1))
+        for p, (lo, hi) in enumerate(zip(ends, ends[1:], strict=False)):
+            ids = np.unique(test.ids[lo:hi])
+            if len(ids) >= terms:
+                rare = ids[np.argsort(counts[ids], kind="stable")[:terms]]
+                asked += [(int(test.terms[i]), p, b) for b, i in enumerate(rare)]
+                span[p] = int((hi - lo) * stretch)
+        term, passage, bit = (np.array(x, t) for x, t in zip(zip(*asked, strict=True) if asked else ([], [], []), (np.uint64, np.int64, np.int64), strict=True))
+        shared = docs.sparkSession.sparkContext.broadcast((term, passage, bit, span, test.case))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            term, passage, bit, span, case = shared.value
+            for b in batches:
+                out = []
+                for ids, e, t, s, p in zip(b.doc_ids, b.doc_ends, b.terms, b.starts, b.positions, strict=True):
+                    arrays = (np.frombuffer(t, np.uint64), np.frombuffer(s, np.uint32).astype(np.int64), np.frombuffer(p, np.uint32), np.frombuffer(e, np.uint32).astype(np.int64))
+                    doc, who, found = _near_block(term, passage, bit, span, *arrays)
+                    out += [(ids[d], case[w], f) for d, w, f in zip(doc, who, found, strict=True) if f >= share * terms]
+                yield pd.DataFrame(out, columns=["id", "case_id", "terms_found"])
+
+        return index.mapInPandas(run, f"id {kind}, case_id string, terms_found long")
+
+    found = reduce(DataFrame.unionByName, [search(rows) for rows in test_blocks(tests, case_col, text_cols)])
+    return found.groupBy("id", "case_id").agg(F.max("terms_found").alias("terms_found")).withColumn("terms_asked", F.lit(terms)).withColumnRenamed("id", id_col)
+
+
+def test_blocks(tests: DataFrame, case_col: str, text_cols: Sequence[str]) -> Iterator[list[Row]]:
+    """The distinct test rows (case, texts...) in blocks of about TEST_WORDS words; at least one block, which may be empty."""
+    held, words = [], 0
+    cases = tests.where(F.col(case_col).isNotNull()).select(F.col(case_col).cast("string"), *[F.col(c).cast("string") for c in text_cols]).distinct()
+    for r in cases.toLocalIterator():
+        held.append(r)
+        words += sum(len(t) // 4 for t in r[1:] if t)
+        if words >= TEST_WORDS:
+            yield held
+            held, words = [], 0
+    yield held
+
+
 def leaked_passages(docs: DataFrame, tests: DataFrame, case_col: str, text_cols: Sequence[str], id_col: str = "doc_id", text_col: str = "text", n: int = 12) -> DataFrame:
     """(id, case_id, longest_run): documents that share at least n consecutive words with one text of a case, once each.
 
@@ -150,7 +231,7 @@ def leaked_passages(docs: DataFrame, tests: DataFrame, case_col: str, text_cols:
     """
     index = build_index(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    spark, parts, held, words = docs.sparkSession, [], [], 0
+    spark = docs.sparkSession
 
     def search(rows: list[Row]) -> DataFrame:
         test = TestSet(rows)
@@ -169,13 +250,5 @@ def leaked_passages(docs: DataFrame, tests: DataFrame, case_col: str, text_cols:
 
         return index.mapInPandas(run, f"id {kind}, case_id string, longest_run long")
 
-    cases = tests.where(F.col(case_col).isNotNull()).select(F.col(case_col).cast("string"), *[F.col(c).cast("string") for c in text_cols]).distinct()
-    for r in cases.toLocalIterator():
-        held.append(r)
-        words += sum(len(t) // 4 for t in r[1:] if t)
-        if words >= TEST_WORDS:
-            parts.append(search(held))
-            held, words = [], 0
-    parts.append(search(held))
-    found = reduce(DataFrame.unionByName, parts)
+    found = reduce(DataFrame.unionByName, [search(rows) for rows in test_blocks(tests, case_col, text_cols)])
     return found.groupBy("id", "case_id").agg(F.max("longest_run").alias("longest_run")).withColumnRenamed("id", id_col)

@@ -69,6 +69,10 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_report(spark, d).select("doc_id", "case_id")
 
 
+def p9_near(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.near_passages(table(spark, d, "documents"), table(spark, d, "rag_golden"), "case_id", ["query", "expected_answer"])
+
+
 def p10_levels(spark: SparkSession, d: str) -> DataFrame:
     return reading_level.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_rating"))
 
@@ -76,7 +80,7 @@ def p10_levels(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_repaired": p2_repaired, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_nearest": p7_nearest,
     "p8_containers": p8_containers,
-    "p9_found": p9_found, "p9_report": p9_report, "p10_levels": p10_levels,
+    "p9_found": p9_found, "p9_report": p9_report, "p9_near": p9_near, "p10_levels": p10_levels,
 }
 
 ORACLES: dict[str, str] = {

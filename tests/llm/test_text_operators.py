@@ -126,6 +126,19 @@ def test_leaks_against_brute_force(spark, texts):
     assert leakage.leaked_passages(d, q.limit(0), "case_id", ["query"]).count() == 0
 
 
+def test_proximity_finds_reordered_passages(spark, texts):
+    rng = random.Random(1)
+    passage = texts[0].split()[:24]
+    shuffled = passage[:]
+    rng.shuffle(shuffled)
+    docs = [(1, " ".join(texts[9].split()[:20] + shuffled + texts[8].split())), (2, texts[7]), (3, (" filler" * 30 + " ").join(passage)), (4, None)]
+    d = spark.createDataFrame([(i, t, "clash") for i, t in docs], "doc_id long, text string, case_id string")
+    q = spark.createDataFrame([("t", " ".join(passage)), ("few", "one two"), ("none", None)], "case_id string, query string")
+    got = {(r.doc_id, r.case_id): r.terms_found for r in leakage.near_passages(d, q, "case_id", ["query"]).collect()}
+    assert got == {(1, "t"): 10}
+    assert leakage.near_passages(d, q.limit(0), "case_id", ["query"]).count() == 0
+
+
 # --- reading level
 
 
