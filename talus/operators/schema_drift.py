@@ -4,8 +4,8 @@ Each file's lines are profiled into a schema tree (presence, JSON kind and a bou
 feed are compared by tree edit distance with the operations keep, retype, add, delete, rename (same parent) and move (other parent); the
 renames of all files then compile into one projection per target table.
 
-Scale: lines are folded to bounded profiles inside their partitions before anything is shuffled, so a file or feed holding a third of all
-rows moves only a few profiles. Files are paired by a window over (feed, file) keys alone. Only field names reach the driver, and their
+Scale: the lines of a file meet in one task, those of a large file in many, and are folded to bounded profiles there, so a file or feed holding a
+third of all rows is no hot spot. Files are paired by a window over (feed, file) keys alone. Only field names reach the driver, and their
 number is checked against ``max_fields``.
 """
 
@@ -24,6 +24,8 @@ from talus.session import stage_table
 
 #: Bounds of one field's value profile; they bound memory, not the rows looked at.
 SHAPES, VALUES = 24, 48
+#: A file of more lines is profiled in so many parts.
+LARGE, PARTS = 50_000, 64
 #: A rename must cost less than this; deleting and adding costs 1 each, so the cheapest script prefers it below 2.
 RENAME_LIMIT = 0.72
 
@@ -59,10 +61,21 @@ def _walk(o: dict, prefix: str = "", depth: int = 0) -> Iterator[tuple[str, obje
             yield from _walk(v, f"{path}.", depth + 1)
 
 
-def _shape(v: object) -> str:
+class _Shapes(dict):
+    """Translation table: letters to a, digits to 9."""
+
+    def __missing__(self, c: int) -> str | int:
+        self[c] = out = "9" if chr(c).isdigit() else "a" if chr(c).isalpha() else c
+        return out
+
+
+_TABLE = _Shapes()
+_RUN = re.compile(r"(.)\1+", re.S)
+
+
+def _shape(text: str) -> str:
     """Letters become a, digits 9, runs are folded: cus_00611 gives a_9."""
-    s = v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
-    return re.sub(r"(.)\1+", r"\1", re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "9", s[:200])))[:40]
+    return _RUN.sub(r"\1", text[:200].translate(_TABLE))[:40]
 
 
 class _Profile:
@@ -76,9 +89,10 @@ class _Profile:
         self.n += 1
         self.kinds[(kind := _kind(v))] += 1
         self.place += place
-        if kind in ("string", "array"):
-            self.shapes[_shape(v)] += 1
-            self.values[(v if isinstance(v, str) else json.dumps(v))[:80]] += 1
+        if kind == "string" or kind == "array":
+            text = v if kind == "string" else json.dumps(v, ensure_ascii=False)
+            self.shapes[_shape(text)] += 1
+            self.values[text[:80]] += 1
         elif kind == "number":
             self.number = [min(v, (self.number or [v, v])[0]), max(v, (self.number or [v, v])[1])]
             self.values[str(v)] += 1
@@ -119,6 +133,8 @@ def _profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _merged(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+    if len(part) == 1:
+        return part
     fields: dict[str, _Profile] = {}
     for p in part.profile:
         for path, raw in json.loads(p).items():
@@ -131,10 +147,14 @@ def _merged(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
 
 def file_schemas(records: DataFrame) -> DataFrame:
     """One row (feed, file_name, target_table, exported_at, profile) per file. Repeated record_ids count once; rows without feed or file name are no file's."""
-    cols = records.select("record_id", "feed", "file_name", "target_table", F.col("exported_at").cast("timestamp").alias("exported_at"), "payload")
-    cols = cols.dropna(subset=["feed", "file_name"]).dropDuplicates(["feed", "file_name", "record_id"]).drop("record_id")
+    cols = records.select("record_id", "feed", "file_name", "target_table", F.col("exported_at").cast("timestamp").alias("exported_at"), "payload").dropna(subset=["feed", "file_name"])
+    # the lines of a file go to one task, those of a large file to PARTS tasks; there are at most (lines / LARGE) large files
+    large = cols.groupBy("feed", "file_name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE).select("feed", "file_name", F.lit(True).alias("large"))
+    part = F.when(F.col("large"), F.pmod(F.xxhash64("record_id"), F.lit(PARTS))).otherwise(0).alias("part")
+    spread = cols.join(F.broadcast(large), ["feed", "file_name"], "left").select(*cols.columns, part).repartition("feed", "file_name", "part")
+    lines = spread.dropDuplicates(["feed", "file_name", "part", "record_id"]).sortWithinPartitions("feed", "file_name").drop("record_id", "part")
     schema = "feed string, file_name string, target_table string, exported_at timestamp, profile string"
-    return cols.mapInPandas(_profiles, schema).groupBy("feed", "file_name").applyInPandas(_merged, schema)
+    return lines.mapInPandas(_profiles, schema).groupBy("feed", "file_name").applyInPandas(_merged, schema)
 
 
 def _words(name: str) -> list[str]:
