@@ -129,7 +129,8 @@ def nearest(vectors: DataFrame, id_col: str, vector_col: str, k: int = 5, dim: i
     shards = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(n_shards)).cast("int")).groupBy("shard").applyInPandas(shard, schema)
     shards = stage_table(shards, "shards")
     meet = shards.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))).withColumn("other", F.col("q") != F.col("shard"))
-    meet = meet.repartition(n_shards, "q").sortWithinPartitions("q", "other", "shard")
+    # more partitions than blocks, so that few blocks share a task
+    meet = meet.repartition(4 * n_shards, "q").sortWithinPartitions("q", "other", "shard")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block, best, queries, ids = None, None, None, None
