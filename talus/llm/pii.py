@@ -266,8 +266,12 @@ def learn_names(texts: DataFrame, cols: Sequence[str]) -> Names:
 
     n = texts.count()
     common = texts.mapInPandas(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= max(ORDINARY_TEXTS, ORDINARY_SHARE * n))
-    pairs = texts.mapInPandas(evidence, "given string, follower string").groupBy("given", "follower").count().groupBy("given").agg(F.count(F.lit(1)).alias("followers"), F.sum("count").alias("n"))
-    given = {r.given for r in pairs.where((F.col("followers") >= GIVEN_FOLLOWERS) & (F.col("followers") >= GIVEN_RATIO * F.col("n"))).limit(MAX_GIVEN + 1).collect()}
+    pairs = texts.mapInPandas(evidence, "given string, follower string").groupBy("given", "follower").agg(F.count(F.lit(1)).alias("n"))
+    # in addresses either may be the given name: it is the one that stands beside more others than these do
+    degree = pairs.groupBy(F.col("given").alias("follower")).agg(F.count(F.lit(1)).alias("degree"))
+    known = pairs.join(degree, "follower", "left").groupBy("given").agg(F.count(F.lit(1)).alias("followers"), F.sum("n").alias("n"), F.avg(F.coalesce("degree", F.lit(0))).alias("theirs"))
+    enough = (F.col("followers") >= GIVEN_FOLLOWERS) & (F.col("followers") >= GIVEN_RATIO * F.col("n")) & (F.col("followers") > 2 * F.col("theirs"))
+    given = {r.given for r in known.where(enough).limit(MAX_GIVEN + 1).collect()}
     if len(given) > MAX_GIVEN:
         raise ValueError(f"more than {MAX_GIVEN} given names")
     return Names(frozenset(given), frozenset(r.word for r in common.collect()) - given)
