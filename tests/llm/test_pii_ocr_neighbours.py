@@ -139,4 +139,5 @@ def test_ties_take_the_smaller_id(spark):
 
 def test_scan_decision():
     assert ocr_repair.is_scan("This line breaks\nin the middle of it.") and not ocr_repair.is_scan("One.\nTwo.\nThree.")
+    assert not ocr_repair.is_scan("2026-08-19T17:44 INFO took=1\n2026-08-19T17:45 WARN took=2") and ocr_repair.is_scan("1. One.\n2. Two.", "Guide > Scanned pages")
     assert not ocr_repair.is_scan("| a |\n| b |") and not ocr_repair.is_scan("x" * 300 + "\ny") and not ocr_repair.is_scan("")
