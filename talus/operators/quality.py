@@ -71,3 +71,41 @@ def chunk_quality_gate(chunks: DataFrame, anchors: DataFrame, sections: DataFram
     warn = F.col("pii_chunks") + F.col("metadata_incomplete") + F.col("fallback_chunks") > 0
     noise = F.greatest(F.lit(0.0), F.lit(1.0) - (F.col("empty_chunks") + F.col("fallback_chunks")) / F.greatest(F.col("n_chunks"), F.lit(1)))
     return g.withColumns({"noise_score": F.round(noise, 6), "status": F.when(bad, "fail").when(warn, "warn").otherwise("pass")})
+
+
+def quality_report(gate: DataFrame) -> DataFrame:
+    """Completeness, noise, evidence and coherence of a chunk gate's one row, and block, warn or pass."""
+    n = F.greatest(F.col("n_chunks"), F.lit(1)).cast("double")
+    share = lambda c: F.round(F.greatest(F.lit(0.0), F.lit(1.0) - F.col(c) / n), 6)
+    decision = F.when(F.col("status") == "fail", "block").when(F.col("status") == "warn", "warn").otherwise("pass")
+    return gate.select(share("metadata_incomplete").alias("completeness"), F.col("noise_score").alias("noise"), share("missing_anchor").alias("evidence"), F.when(F.col("status") != "fail", 1.0).otherwise(0.0).alias("coherence"), decision.alias("decision"))
+
+
+def drift(current: DataFrame, baseline: DataFrame, threshold: float) -> DataFrame:
+    """(metric, current_value, baseline_value, drifted): whether the two differ by more than the threshold; null where one is missing."""
+    j = current.select("metric", F.col("value").alias("current_value")).join(baseline.select("metric", F.col("value").alias("baseline_value")), "metric", "full_outer")
+    return j.withColumn("drifted", F.abs(F.col("current_value") - F.col("baseline_value")) > threshold)
+
+
+def run_status(errors: Column, warnings: Column, quarantined: Column, invalid: Column) -> Column:
+    return F.when(errors > 0, "failed").when(quarantined + invalid > 0, "partial").when(warnings > 0, "warning").otherwise("success")
+
+
+def eval_set_errors(samples: DataFrame, categories: Sequence[str]) -> DataFrame:
+    """(rule, detail): an empty set, repeated case ids, categories without cases, answerable cases without a source."""
+    spark = samples.sparkSession
+    empty = samples.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit("empty_set").alias("rule"), F.lit("").alias("detail"))
+    repeated = duplicates(samples, ["case_id"]).select(F.lit("repeated_case_id").alias("rule"), F.col("case_id").alias("detail"))
+    gone = spark.createDataFrame([(c,) for c in categories], "category string").join(samples.select("category").distinct(), "category", "left_anti").select(F.lit("missing_category").alias("rule"), F.col("category").alias("detail"))
+    unsourced = samples.where(~F.col("should_abstain") & blank("source_doc")).select(F.lit("answerable_without_source").alias("rule"), F.col("case_id").alias("detail"))
+    return empty.unionByName(repeated).unionByName(gone).unionByName(unsourced)
+
+
+def manifest_errors(manifests: DataFrame, compatible: Mapping[str, Sequence[str]], load_modes: Sequence[str]) -> Column:
+    """Rules of a manifest row (modality, source_type, load_mode, cursor_field, assets): known modality for the source type, known load mode, a cursor where one is needed, no repeated source ids."""
+    kinds = F.create_map(*[x for k, v in compatible.items() for x in (F.lit(k), F.array(*[F.lit(y) for y in v]))])
+    ids = F.transform("assets", lambda a: a["source_id"])
+    return errors({
+        "unknown_modality": F.try_element_at(kinds, F.col("modality")).isNull(), "source_type_not_for_modality": ~F.array_contains(F.try_element_at(kinds, F.col("modality")), F.col("source_type")),
+        "unknown_load_mode": ~F.col("load_mode").isin(*load_modes), "cursor_missing": (F.col("load_mode") == "incremental_cursor") & blank("cursor_field"), "repeated_source_id": F.size(ids) != F.size(F.array_distinct(ids)),
+    })

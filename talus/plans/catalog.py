@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talus.functions import text as X
-from talus.operators import chunking, evaluation, governance, quality, retrieval, upserts
+from talus.operators import chunking, evaluation, governance, indexing, quality, retrieval, upserts
 from talus.plans import kpi, marts
 from talus.sources import proxies
 from talus.sources.lakehouse import VersionedTable
@@ -496,6 +496,37 @@ def idempotent_replay(spark: SparkSession, d: str) -> DataFrame:
     return governance.idempotent_outcome(new, old, ["source_id", "fingerprint"], "event_id").groupBy("outcome").agg(F.count(F.lit(1)).alias("n_requests"))
 
 
+@query("select count(*)::bigint as total_chunks, count_if(index_release_id = 'idx-test' and embedding is not null)::bigint as embedded_chunks, 0::bigint as errors, 'warn' as quality_gate from knowledge_section")
+def index_report(spark: SparkSession, d: str) -> DataFrame:
+    return indexing.index_report(table(spark, d, "knowledge_section"), "idx-test", 64)
+
+
+@query("select section_id, (embedding is null or index_release_id <> 'idx-2026.08') as pending from knowledge_section where embedding is null or index_release_id <> 'idx-2026.08'")
+def index_pending(spark: SparkSession, d: str) -> DataFrame:
+    return indexing.pending(table(spark, d, "knowledge_section"), "idx-2026.08").select("section_id", F.lit(True).alias("pending"))
+
+
+@query(_LEXICAL + """select q.query_id, count(leg.doc_id)::bigint as n_hits, round(coalesce(least(max(score), 1.0), 0.0), 6)::double as confidence,
+  case when count(leg.doc_id) = 0 then 'no_retrieval_results' when round(coalesce(least(max(score), 1.0), 0.0), 6) < 0.6 then 'low_retrieval_confidence' end as abstain_reason from (select distinct query_id from q) q left join leg using (query_id) group by 1""")
+def answer_gate(spark: SparkSession, d: str) -> DataFrame:
+    queries = table(spark, d, "rag_golden").select(F.col("case_id").alias("query_id"))
+    return indexing.answer_gate(_lexical(spark, d), queries, "query_id", "score")
+
+
+@query("""select 'repeated_case_id' as rule, case_id as detail from rag_golden group by case_id having count(*) > 1
+  union all select 'missing_category', c from (select unnest(['happy','boundary','adversarial','multi_hop','unseen']) c) where c not in (select category from rag_golden)
+  union all select 'answerable_without_source', case_id from rag_golden where not should_abstain and trim(coalesce(source_doc, '')) = ''""")
+def eval_set_rules(spark: SparkSession, d: str) -> DataFrame:
+    return quality.eval_set_errors(table(spark, d, "rag_golden"), ["happy", "boundary", "adversarial", "multi_hop", "unseen"])
+
+
+@query("""with m as (select ts < timestamp '2024-01-15' old, event_type metric, round(avg(value), 6) v from events group by 1, 2)
+  select coalesce(a.metric, b.metric) as metric, a.v as current_value, b.v as baseline_value, abs(a.v - b.v) > 1.0 as drifted from (select * from m where not old) a full join (select * from m where old) b on a.metric = b.metric""")
+def metric_drift(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "events").groupBy((F.col("ts") < F.lit("2024-01-15").cast("timestamp")).alias("old"), F.col("event_type").alias("metric")).agg(F.round(F.avg("value"), 6).alias("value"))
+    return quality.drift(m.where("not old"), m.where("old"), 1.0)
+
+
 # --- versioned tables and streams ---------------------------------------------------------------------------------------------------------
 
 
