@@ -84,5 +84,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "p1_found": """
+with c as (select chunk_id, regexp_extract_all(lower(arg_max(content, ingest_ts)), '[a-z0-9]+') w from document_chunk where content is not null group by 1),
+s as (select distinct chunk_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) g from c where len(w) >= 30),
+n as (select chunk_id, count(*) n from s group by 1),
+p as (select a.chunk_id x, b.chunk_id y, count(*) i from s a join s b on a.g = b.g and a.chunk_id < b.chunk_id group by 1, 2)
+select x as chunk_id_a, y as chunk_id_b from p join n nx on nx.chunk_id = x join n ny on ny.chunk_id = y where i >= 0.6 * (nx.n + ny.n - i)""",
     "p4_found": "select distinct chunk_id from document_chunk where length(content) > 1200",
+    "p7_found": """
+with v as (select section_id, arg_max(embedding, created_at)::double[] e from knowledge_section
+  where embedding is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64 and len(list_filter(embedding, lambda x: x <> 0)) > 0 group by 1),
+p as (select a.section_id a, b.section_id b, list_cosine_similarity(a.e, b.e) c from v a join v b on a.section_id <> b.section_id),
+r as (select *, row_number() over (partition by a order by c desc, b) k from p)
+select distinct least(a, b) as section_id_a, greatest(a, b) as section_id_b from r where k <= 5 and c >= 0.95""",
+    "p9_found": """
+with d as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') w from documents),
+g as (select distinct doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i : i + 11], ' '))) g from d where len(w) >= 12),
+t as (select case_id, regexp_extract_all(lower(unnest([query, expected_answer])), '[a-z0-9]+') w from rag_golden),
+h as (select distinct case_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i : i + 11], ' '))) g from t where len(w) >= 12)
+select distinct doc_id, case_id from g join h using (g)""",
 }
