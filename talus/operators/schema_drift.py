@@ -398,7 +398,7 @@ def consistent_table(records: DataFrame, target: str, max_fields: int = 5000) ->
             continue  # below a field that is mostly no object: its JSON is kept whole
         paths = ["$" + "".join(f"['{k}']" for k in p.split(".")) for p in ranked]
         cols[ranked[0].replace(".", "__")] = F.coalesce(*[F.get_json_object("payload", p) for p in paths])
-    valid = F.udf(lambda s: parse_line(s) is not None, "boolean")
+    valid = F.pandas_udf(lambda s: s.map(lambda x: parse_line(x) is not None).astype(bool), "boolean")
     order = Window.partitionBy("record_id").orderBy(F.col("ingest_ts").desc(), F.col("line_no").desc(), F.col("payload"))
     last = rows.withColumn("_n", F.row_number().over(order)).where("_n = 1 and try_parse_json(payload) is not null").where(valid("payload"))
     keep = ("record_id", "feed", "file_name", "exported_at", "line_no")
