@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,22 @@ def local_session(cores: str = "8", **conf: str) -> SparkSession:
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the executors' Python workers, once per application; Spark's file server hands it out, so they need no copy of their own."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parent
+    if sc.applicationId in _SHIPPED or not root.is_dir():
+        return
+    _SHIPPED.add(sc.applicationId)
+    path = f"{tempfile.mkdtemp(prefix='talus-package-')}/{root.name}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share. It comes from spark.checkpoint.dir; only where that is unset (local tests) is one made here."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -43,6 +61,7 @@ def stage_table(df: DataFrame, name: str, partition_by: list[str] | None = None)
     Unlike checkpoint() the table is columnar, so later reads prune columns. The tables of one application lie under one folder, see drop_stage_tables.
     """
     spark = df.sparkSession
+    ship_package(spark)
     path = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     w = df.write.mode("error")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
