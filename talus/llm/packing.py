@@ -24,6 +24,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Parts of each size class that are ranked by themselves.
 SHARDS = 64
+#: Tokens by which the end of a window may change the number of tokens before it.
+EDGE = 16
 
 
 class CapacityTree:
@@ -103,10 +105,14 @@ def encoder(path: str):  # noqa: ANN201
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def cut_long(text: str, tokens: Sequence[int], capacity: int, enc) -> list[tuple[int, int, int]]:  # noqa: ANN001
-    """(start, end, tokens) of pieces that each have at most ``capacity`` tokens when encoded by themselves and join to the text."""
+def cut_long(text: str, tokens: Sequence[int], seen: int, capacity: int, enc) -> list[tuple[int, int, int]]:  # noqa: ANN001
+    """(start, end, tokens) of pieces that each have at most ``capacity`` tokens when encoded by themselves and join to the text. ``tokens`` are those of text[:seen]."""
     out, start = [], 0
     while True:
+        # few tokens end the text only if they reach its end; a window's end may itself split a few tokens
+        while len(tokens) <= capacity + EDGE and seen < len(text):
+            seen = min(len(text), start + 2 * (seen - start))
+            tokens = enc.encode_ordinary(text[start:seen])
         if len(tokens) <= capacity:
             return [*out, (start, len(text), len(tokens))]
         take = capacity
@@ -120,7 +126,8 @@ def cut_long(text: str, tokens: Sequence[int], capacity: int, enc) -> list[tuple
         out.append((start, end, len(own)))
         start = end
         # windows of the text, so that a text of any length is encoded a bounded number of times
-        tokens = enc.encode_ordinary(text[start : start + 16 * capacity]) if len(text) - start > 16 * capacity else enc.encode_ordinary(text[start:])
+        seen = min(len(text), start + 16 * capacity)
+        tokens = enc.encode_ordinary(text[start:seen])
 
 
 def token_items(docs: DataFrame, id_col: str, text_col: str, capacity: int, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -132,11 +139,12 @@ def token_items(docs: DataFrame, id_col: str, text_col: str, capacity: int, toke
             rows = []
             for key, t in zip(b.id, b.text, strict=True):
                 t = t if isinstance(t, str) else ""
-                n = enc.encode_ordinary(t) if len(t) <= 40 * capacity else enc.encode_ordinary(t[: 40 * capacity])
-                if len(n) <= capacity and len(t) <= 40 * capacity:
+                seen = min(len(t), 40 * capacity)
+                n = enc.encode_ordinary(t[:seen])
+                if len(n) <= capacity and seen == len(t):
                     rows.append((key, 0, 1, 0, len(t), len(n)))
                 else:
-                    ps = cut_long(t, n, capacity, enc)
+                    ps = cut_long(t, n, seen, capacity, enc)
                     rows += [(key, k, len(ps), s, e, c) for k, (s, e, c) in enumerate(ps)]
             yield pd.DataFrame(rows, columns=["id", "piece_no", "n_pieces", "char_start", "char_end", "n_tokens"])
 

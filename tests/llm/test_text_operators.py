@@ -103,6 +103,16 @@ def test_pack_documents_round_trip(spark):
     assert max(filled.values()) <= 128 and sorted(filled) == list(range(len(filled)))
 
 
+def test_text_behind_a_window_of_few_tokens_is_counted(spark):
+    texts = [("-" * 100 + "\n") * 3000, "-" * 300_000, ("-" * 100 + "\n") * 60 + "many short words " * 3000, "word " * 900 + "-" * 30_000 + " tail" * 500, "-" * 6000]
+    got = packing.token_items(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", 128).collect()
+    enc = packing.encoder(packing.TOKENIZER)
+    for i, t in enumerate(texts):
+        cut = [(t[r.char_start : r.char_end], r.n_tokens) for r in sorted((r for r in got if r.id == i), key=lambda r: r.piece_no)]
+        assert "".join(c for c, _ in cut) == t and all(len(enc.encode_ordinary(c)) == n <= 128 for c, n in cut)
+        assert (len(cut) == 1) == (len(enc.encode_ordinary(t)) <= 128)
+
+
 # --- leakage
 
 
