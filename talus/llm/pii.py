@@ -2,7 +2,8 @@
 
 E-mail addresses, phone numbers, identity numbers and street addresses are found by their formats. Names need the collection: one pass counts
 how many texts have each word and collects what stands where names stand (after "signed", "reported by" and the like). Words in that place
-with many different words after them are given names; words of many texts are no surnames. A second pass finds given name or initial with surname.
+with many different words after them are given names. Words of many texts are no surnames unless a good share of their occurrences stands beside
+given names or after initials, which a second pass counts. The last pass finds given name or initial with surname.
 
 Every item is replaced by ``[TYPE value]``. The value of a phone or identity number is the number itself, permuted within its format by a
 keyed Feistel network: separators, length and letter places stay, check letters that were right are right again, and equal numbers get equal
@@ -23,9 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
-#: A word of at least this share of the texts, and at least so many, is an ordinary word and no surname. So at most (words per text) / share words are ordinary.
+#: A word of at least this share of the texts, and at least so many, is frequent. So at most (words per text) / share words are.
 ORDINARY_SHARE, ORDINARY_TEXTS = 0.0005, 5
-#: A given name has at least so many different followers, and its followers differ at least so much.
+#: A frequent word is ordinary unless this share of its occurrences stands where names stand.
+NAME_SHARE = 0.3
+#: A frequent word is no given name if less than this share of its occurrences stands at cues.
+GIVEN_SHARE = 0.1
+#: A given name has at least so many different followers that may be surnames, and they are this share of its different followers.
 GIVEN_FOLLOWERS, GIVEN_RATIO = 3, 0.4
 #: Given names taken from the collection at most; beyond it an error is raised.
 MAX_GIVEN = 200_000
@@ -65,6 +70,7 @@ _INITIAL = re.compile(rf"{_HEAD}({_LETTERS})\.(?:[ ]{_LETTERS}\.)?[ ]({_PART}){_
 _CUE = re.compile(rf"(?i:\b(?:{NAME_CUES}):?,?|\b(?:{TITLES})\.?)[ ]+(?=(?:(?i:{TITLES})\.?[ ])?({_PART})(?:[ ]{_LETTERS}\.)?([ ]|,[ ])({_PART}){_TAIL})")
 _CUED_PLACE = re.compile(rf"(?i:\b(?:{NAME_CUES}):?,?|\b(?:{TITLES})\.?)[ ]+$")
 _TITLE = re.compile(TITLES, re.I)
+_TITLED = re.compile(r"\b(?i:mrs?|ms|dr|prof|herr|frau)\.?[ ]+$")
 WORD = re.compile(rf"{_PART}")
 
 
@@ -101,9 +107,28 @@ def _case(w: str) -> str:
     return "upper" if w.isupper() else "lower" if w.islower() else "title" if w[:1].isupper() else "mixed"
 
 
-def _surname(w: str, names: Names) -> bool:
+def _surname(w: str, names: Names, sure: bool = False) -> bool:
+    """sure: the place alone makes it a surname, however frequent the word is."""
     low = w.lower()
-    return len(w) > 2 and low not in names.ordinary and low not in names.given and not any(p in names.ordinary and len(p) > 3 for p in low.split("-")[:1])
+    if low in names.given or (len(w) < 3 and _case(w) not in ("title", "upper")):
+        return False
+    if sure and _case(w) in ("title", "upper"):
+        return True
+    return low not in names.ordinary and not any(p in names.ordinary and len(p) > 3 for p in low.split("-")[:1])
+
+
+def name_places(text: str, given: frozenset[str] = frozenset()) -> tuple[set[tuple[int, int]], set[tuple[int, int]]]:
+    """Spans of the words at cues and titles, and of those beside given names or after initials."""
+    cued = {s for m in _CUE.finditer(text) for s in (m.span(1), m.span(3))}
+    beside = {m.span(2) for m in _INITIAL.finditer(text) if m[1].isupper() and _case(m[2]) in ("title", "upper")}
+    for rx, given_at in ((_GIVEN, 1), (_SURNAME_FIRST, 2)) if given else ():
+        at = 0
+        while m := rx.search(text, at):
+            at = m.start() + len(m[1])
+            a, b = _case(m[given_at]), _case(m[3 - given_at])
+            if m[given_at].lower() in given and (a == b or given_at == 2 and b == "upper") and (given_at == 1 or b != "lower"):
+                beside.add(m.span(3 - given_at))
+    return cued, beside
 
 
 def find_names(text: str, names: Names) -> Iterator[Item]:
@@ -113,12 +138,12 @@ def find_names(text: str, names: Names) -> Iterator[Item]:
             given, surname = m[given_at], m[3 - given_at]
             known = given.lower() in names.given
             fit = _case(given) == _case(surname) or (given_at == 2 and _case(surname) == "upper")
-            if not fit or not (known or _case(given) in ("title", "upper")) or not _surname(surname, names):
+            head = text[max(0, m.start() - 24) : m.start()]
+            cued, titled, initial = bool(_CUED_PLACE.search(head)), bool(_TITLED.search(head)), given_at == 1 and ". " in m[0]
+            if not fit or not (known or _case(given) in ("title", "upper")) or not _surname(surname, names, titled or (known and (cued or initial))):
                 at = m.start() + len(m[1])
                 continue
-            cued = bool(_CUED_PLACE.search(text[max(0, m.start() - 24) : m.start()]))
-            initial = given_at == 1 and ". " in m[0]
-            new = (cued or initial) and _case(given) in ("title", "upper") and given.lower() not in names.ordinary and not _TITLE.fullmatch(given)
+            new = (cued or initial) and _case(given) in ("title", "upper") and (titled or given.lower() not in names.ordinary) and not _TITLE.fullmatch(given)
             if (known or new) and (given_at == 1 or _case(surname) != "lower" or cued):
                 yield Item("person", m.start(), m.end())
                 at = m.end()
@@ -126,7 +151,7 @@ def find_names(text: str, names: Names) -> Iterator[Item]:
                 at = m.start() + len(m[1])
     for m in _INITIAL.finditer(text):
         cued = bool(_CUED_PLACE.search(text[max(0, m.start() - 24) : m.start()]))
-        if _surname(m[2], names) and ((m[1].isupper() and _case(m[2]) in ("title", "upper")) or cued):
+        if _surname(m[2], names, cued and m[1].isupper()) and ((m[1].isupper() and _case(m[2]) in ("title", "upper")) or cued):
             yield Item("person", m.start(), m.end())
 
 
@@ -249,32 +274,50 @@ def latest(rows: DataFrame, id_col: str, text_cols: Sequence[str], version_col:
 
 def learn_names(texts: DataFrame, cols: Sequence[str]) -> Names:
     """Given names and ordinary words of the collection (columns of text, one row per record)."""
+    from collections import Counter
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from collections import Counter
-
         for b in batches:
-            counts: Counter[str] = Counter()
+            texts, total, cued = Counter(), Counter(), Counter()
             for row in b[list(cols)].itertuples(index=False):
-                counts.update({w for t in row if isinstance(t, str) for w in WORD.findall(t.lower())})
-            yield pd.DataFrame(list(counts.items()), columns=["word", "n"])
+                row = [t for t in row if isinstance(t, str)]
+                texts.update({w for t in row for w in WORD.findall(t.lower())})
+                for t in (EMAIL.sub(" . ", t) if "@" in t else t for t in row):
+                    total.update(WORD.findall(t.lower()))
+                    cued.update(t[x:y].lower() for x, y in set().union(*name_places(t)))
+            yield pd.DataFrame([(w, n, total[w], cued[w]) for w, n in texts.items()], columns=["word", "n", "total", "cued"])
+
+    def beside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frequent, given = shared.value
+        for b in batches:
+            placed: Counter[str] = Counter()
+            for t in (t for row in b[list(cols)].itertuples(index=False) for t in row if isinstance(t, str)):
+                t = EMAIL.sub(" . ", t) if "@" in t else t
+                placed.update(w for x, y in name_places(t, given)[1] if (w := t[x:y].lower()) in frequent)
+            yield pd.DataFrame(list(placed.items()), columns=["word", "placed"])
 
     def evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            pairs = [p for row in b[list(cols)].itertuples(index=False) for t in row if isinstance(t, str) for p in name_evidence(t)]
-            yield pd.DataFrame(pairs, columns=["given", "follower"])
+            pairs = [(g, f, f not in away.value) for row in b[list(cols)].itertuples(index=False) for t in row if isinstance(t, str) for g, f in name_evidence(t)]
+            yield pd.DataFrame(pairs, columns=["given", "follower", "may"])
 
     n = texts.count()
-    common = texts.mapInPandas(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= max(ORDINARY_TEXTS, ORDINARY_SHARE * n))
-    pairs = texts.mapInPandas(evidence, "given string, follower string").groupBy("given", "follower").agg(F.count(F.lit(1)).alias("n"))
+    common = texts.mapInPandas(words, "word string, n long, total long, cued long").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "total", "cued")]).where(F.col("n") >= max(ORDINARY_TEXTS, ORDINARY_SHARE * n))
+    common = {r.word: r for r in common.collect()}
+    sc = texts.sparkSession.sparkContext
+    away = sc.broadcast(frozenset(w for w, r in common.items() if r.cued < NAME_SHARE * r.total))
+    pairs = texts.mapInPandas(evidence, "given string, follower string, may boolean").groupBy("given", "follower").agg(F.first("may").cast("int").alias("may"))
     # in addresses either may be the given name: it is the one that stands beside more others than these do
     degree = pairs.groupBy(F.col("given").alias("follower")).agg(F.count(F.lit(1)).alias("degree"))
-    known = pairs.join(degree, "follower", "left").groupBy("given").agg(F.count(F.lit(1)).alias("followers"), F.sum("n").alias("n"), F.avg(F.coalesce("degree", F.lit(0))).alias("theirs"))
-    enough = (F.col("followers") >= GIVEN_FOLLOWERS) & (F.col("followers") >= GIVEN_RATIO * F.col("n")) & (F.col("followers") > 2 * F.col("theirs"))
+    known = pairs.join(degree, "follower", "left").groupBy("given").agg(F.count(F.lit(1)).alias("all"), F.sum("may").alias("followers"), F.avg(F.coalesce("degree", F.lit(0))).alias("theirs"))
+    enough = (F.col("followers") >= GIVEN_FOLLOWERS) & (F.col("followers") >= GIVEN_RATIO * F.col("all")) & (F.col("all") > 2 * F.col("theirs"))
     given = {r.given for r in known.where(enough).limit(MAX_GIVEN + 1).collect()}
     if len(given) > MAX_GIVEN:
         raise ValueError(f"more than {MAX_GIVEN} given names")
-    return Names(frozenset(given), frozenset(r.word for r in common.collect()) - given)
+    given = frozenset(g for g in given if g not in common or common[g].cued >= GIVEN_SHARE * common[g].total)
+    shared = sc.broadcast((frozenset(common), given))
+    placed = {r.word: r.placed for r in texts.mapInPandas(beside, "word string, placed long").groupBy("word").agg(F.sum("placed").alias("placed")).collect()}
+    return Names(given, frozenset(w for w, r in common.items() if placed.get(w, 0) < max(1, NAME_SHARE * r.total)) - given)
 
 
 def find_pii(rows: DataFrame, id_col: str, text_cols: Sequence[str], version_col: str | None = None) -> DataFrame:

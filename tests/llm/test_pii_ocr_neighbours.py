@@ -64,6 +64,15 @@ def test_pii_table(spark):
     assert pii.find_pii(df.limit(0), "ticket_id", ["subject"], "ingest_ts").count() == 0
 
 
+def test_recurring_and_short_names(spark):
+    people = ["Emil Vanthor"] * 40 + ["Emil Brisnak", "Emil Kolwen", "Hanna Li", "Hanna Wexford", "Hanna Dorvane", "Noor Ng"]
+    rows = [(f"T{i:02}", f"Signed: {p}. The gateway is slow again.") for i, p in enumerate(people)] + [(f"S{i}", "Regards, Edge Operations Desk. The edge operations manual is old.") for i in range(20)]
+    rows += [(f"V{i}", "we saw that emil vanthor waits") for i in range(5)] + [("D1", "Ask Dr Ulla Gateway about it"), ("D2", "for Hanna Li")]
+    found = pii.find_pii(spark.createDataFrame(rows, "ticket_id string, description string"), "ticket_id", ["description"]).collect()
+    got = {(r.ticket_id, r.value) for r in found if r.pii_kind == "person"}
+    assert got == {*((f"T{i:02}", p) for i, p in enumerate(people)), *((f"V{i}", "emil vanthor") for i in range(5)), ("D1", "Ulla Gateway"), ("D2", "Hanna Li")}
+
+
 SECTION = "section_id string, section_path string, content string, ingest_ts timestamp, flag boolean, low string"
 CLEAN = "Please restart the modern controller before the weekly window because the profile was slow. The planner exported many records and the archive volume still keeps every entry. "
 
