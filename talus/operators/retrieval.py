@@ -1,17 +1,21 @@
 """Retrieval for many queries at once: vector and lexical legs, reciprocal rank fusion, pruning, query plans.
 
-Query sets are bounded and broadcast only by Spark's own size estimate; the collection is never collected. Each leg keeps its k best rows per query inside the
+Query sets are broadcast only by Spark's own size estimate; the collection is never collected. Each leg keeps its k best rows per query inside the
 window (rank limit pushed below the shuffle), so no leg sorts all pairs.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talus.functions.text import STOP_WORDS, cosine, lexical_terms, normal_space, token_estimate, words
 
 RRF_K = 60
+#: Queries of a block and items of a shard of the vector search.
+BLOCK_ROWS, SHARD_ROWS = 8192, 16384
 
 
 def top_k(scored: DataFrame, query: str, score: str, item: str, k: int) -> DataFrame:
@@ -20,12 +24,46 @@ def top_k(scored: DataFrame, query: str, score: str, item: str, k: int) -> DataF
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def vector_top_k(queries: DataFrame, items: DataFrame, query_id: str, item_id: str, vector: str, k: int) -> DataFrame:
-    """(query_id, item_id, score, rank) by cosine; queries(query_id, vector) is a stated set against all items."""
-    q = queries.select(query_id, F.col(vector).alias("_q"))
-    pairs = items.select(item_id, F.col(vector).alias("_v")).join(q, F.lit(True)).where(F.col(query_id) != F.col(item_id))
-    scored = pairs.select(query_id, item_id, F.round(cosine("_q", "_v"), 6).alias("score")).where("score is not null")
-    return top_k(scored, query_id, "score", item_id, k)
+def vector_top_k(queries: DataFrame, items: DataFrame, query_id: str, item_id: str, vector: str, k: int, block_rows: int = BLOCK_ROWS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(query_id, item_id, score, rank) by cosine, exact: every block of queries meets every shard of the items in matrix products, and only its k best leave it.
+
+    Vectors that are null, hold nulls or are all zero have no cosine; only vectors of equal length are compared.
+    """
+
+    def side(rows: DataFrame, key: str, n: int) -> DataFrame:
+        v = F.col(vector).cast("array<double>")
+        full = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), v.alias("v")).where(F.exists("v", lambda x: x != 0) & ~F.exists("v", lambda x: x.isNull()))
+        return full.withColumns({"dim": F.size("v"), "part": F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")})
+
+    n_blocks, n_shards = max(1, -(-queries.count() // block_rows)), max(1, -(-items.count() // shard_rows))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = side(queries, query_id, n_blocks).withColumnRenamed("part", "block").withColumn("shard", every(n_shards))
+    it = side(items, item_id, n_shards).withColumnRenamed("part", "shard").withColumn("block", every(n_blocks))
+
+    def unit(v: pd.Series) -> np.ndarray:
+        m = np.stack(v.to_list())
+        return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query": a.id[:0], "item": b.id[:0], "score": np.zeros(0)})
+        b = b.sort_values("id", kind="stable")
+        codes, _ = pd.factorize(pd.concat([a.id, b.id], ignore_index=True))
+        qs, vs, own, others, out = unit(a.v), unit(b.v), codes[: len(a)], codes[len(a) :], []
+        for at in range(0, len(a), 128):
+            score = np.round(qs[at : at + 128] @ vs.T, 6)
+            order = np.where(np.isnan(score), np.inf, score)  # as Spark sorts them
+            order[own[at : at + 128, None] == others] = -np.inf
+            top = np.argsort(-order, axis=1, kind="stable")[:, :k]  # ties by item
+            r, c = np.nonzero(np.take_along_axis(order, top, 1) > -np.inf)
+            c = top[r, c]
+            out.append(pd.DataFrame({"query": a.id.to_numpy()[at + r], "item": b.id.to_numpy()[c], "score": score[r, c]}))
+        return pd.concat(out)
+
+    schema = f"query {queries.schema[query_id].dataType.simpleString()}, item {items.schema[item_id].dataType.simpleString()}, score double"
+    keys = ["dim", "block", "shard"]
+    found = q.groupBy(*keys).cogroup(it.groupBy(*keys)).applyInPandas(best, schema)
+    return top_k(found.select(F.col("query").alias(query_id), F.col("item").alias(item_id), F.round("score", 6).alias("score")), query_id, "score", item_id, k)
 
 
 def lexical_top_k(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, doc_id: str, doc_text: str, k: int) -> DataFrame:

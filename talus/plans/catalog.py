@@ -357,6 +357,15 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.vector_top_k(q, v, "query_id", "vec_id", "embedding", 10)
 
 
+@query("""with v as (select vec_id, embedding::double[] e from embeddings), q as (select * from v where vec_id % 20 = 0)
+  select query_id, vec_id, score, rank from (select q.vec_id query_id, v.vec_id vec_id, round(list_cosine_similarity(q.e, v.e), 6) score, row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.e, v.e), 6) desc, v.vec_id)::int rank from q join v on q.vec_id <> v.vec_id) where rank <= 10""")
+def vector_search(spark: SparkSession, d: str) -> DataFrame:
+    """The whole search set, every vector whose id is divisible by 20, against all vectors."""
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    q = v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    return retrieval.vector_top_k(q, v, "query_id", "vec_id", "embedding", 10)
+
+
 _STOP = "[" + ",".join(f"'{w}'" for w in X.STOP_WORDS) + "]"
 _LEXICAL = f"""with q as (select case_id query_id, list_filter(list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')), lambda x: not list_contains({_STOP}, x)) t from rag_golden),
 a as (select query_id, len(t) n, unnest(t) term from q), dw as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') w from documents),

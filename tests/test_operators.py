@@ -185,3 +185,13 @@ def test_eval_scores(spark):
     assert got["c2"].passed and got["c2"].faithfulness == 0.5 and not got["c3"].passed
     cats = {r.category: r.cases for r in evaluation.category_breakdown(evaluation.eval_scores(samples, preds, ctx), ["happy", "boundary"]).collect()}
     assert cats == {"happy": 2, "boundary": 0}
+
+
+def test_vector_blocks_against_brute_force(spark):
+    rows = [(i, None if i == 7 else [0.0] * 3 if i == 8 else [1.0, 2.0] if i == 9 else [float(i % 5), float(i % 3), 1.0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "i int, v array<float>")
+    got = {(r.q, r.i, r["rank"]) for r in retrieval.vector_top_k(df.where("i % 2 = 0").withColumnRenamed("i", "q"), df, "q", "i", "v", 4, 7, 11).collect()}
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5, 6)
+    use = {i: v for i, v in rows if i not in (7, 8, 9)}
+    want = {(q, i, n + 1) for q in use if q % 2 == 0 for n, (_, i) in enumerate(sorted((-cos(use[q], v), i) for i, v in use.items() if i != q)[:4])}
+    assert got == want
