@@ -108,6 +108,16 @@ def test_scan_repair(spark):
     assert ocr_repair.found_noise(df.limit(0), "flag").count() == 0 and ocr_repair.repaired_sections(df.limit(0), "flag").count() == 0
 
 
+def test_context_chooses_among_all_candidates(spark):
+    pairs = np.zeros(ocr_repair.PAIR_BUCKETS, np.int32)
+    pairs[ocr_repair._pair("big", "xuuuvx")] = 50
+    rows = [("word", "s", 0, None, 4, "xuuuux", "xuuuux", "xuuuux", "big", None, None, None)]
+    rows += [("pairs", *[None] * 9, k, bytearray(x.tobytes())) for k, x in enumerate(np.split(pairs, ocr_repair.PAIR_SLICES)) if x.any()]
+    found = spark.createDataFrame(rows, "kind string, section_id string, line_no int, next_line int, at int, word string, low string, hyphened string, before string, after string, slice int, counts binary")
+    lexicon = spark.createDataFrame([("xvuuux", 100), ("xuvuux", 100), ("xuuvux", 100), ("xnuuux", 100), ("xuuuvx", 50)], "word string, n long")
+    assert [r.repaired for r in ocr_repair.corrections(found, lexicon).collect()] == ["xuuuvx"]
+
+
 def test_weighted_distance():
     assert ocr_repair.weighted_distance("rnodern", "modern") == pytest.approx(0.3)
     assert ocr_repair.weighted_distance("cat", "car") == 1 and ocr_repair.weighted_distance("same", "same") == 0
