@@ -2,7 +2,8 @@
 
 1. A section is a scan if its flag says it may be and its lines break inside sentences (hard-wrapped text) or its path speaks of scanned pages;
    tables, logs, lists and contents pages with the flag are none.
-2. Furniture: page numbers, the section's own title as a running header, and short lines that stand alone in many scans.
+2. Furniture: page numbers, the section's own title as a running header, and phrases that stand alone as lines in several places, most of them at the
+   edge of a page. Misread copies of such a phrase meet it over equal parts (within one or two edits at least one of its two or three parts is whole).
 3. Words hyphenated at a line end are joined over blank lines and furniture; the hyphen stays if the lexicon has the word only with it.
 4. Misread words: the lexicon is the word frequencies of all sections that are no scans. A symmetric-delete index (all words and queries
    with up to two letters deleted meet on equal remainders) yields candidates for words the lexicon lacks; a weighted edit distance, in which pairs of
@@ -17,7 +18,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,12 +26,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talus.session import stage_table
+from talus.session import ship_package, stage_table
 
-#: Occurrences in clean sections that make a word known; scans, and share of all scans, that make a line that stands alone furniture.
-KNOWN, REPEATED, REPEATED_SHARE = 2, 3, 0.002
-#: Furniture phrases at most (an error beyond), and their length.
-MAX_PHRASES, PHRASE_CHARS = 20_000, 60
+#: Occurrences in clean sections that make a word known; places in which a line that stands alone is furniture, and the share of them at the edge of a page.
+KNOWN, REPEATED, EDGE_SHARE = 2, 3, 0.5
+#: Characters of a line that may be furniture; share of a scan's text that may stand in lines which are longer.
+LINE_CHARS, LONG_SHARE = 120, 0.15
 COST, DELETES = 0.3, 2
 #: Share of all words that makes a word frequent: at most 1 / FREQUENT_SHARE words are. Buckets of the word pair counts, and slices in which they are added up.
 FREQUENT_SHARE, PAIR_BUCKETS, PAIR_SLICES = 2e-6, 1 << 20, 64
@@ -62,13 +63,14 @@ def lines_of(content: str) -> list[str]:
     return content.split("\n")
 
 
-def is_scan(content: str, section_path: str | None = None, width: int = 120, share: float = 0.03) -> bool:
+def is_scan(content: str, section_path: str | None = None, width: int = LINE_CHARS, share: float = 0.03) -> bool:
     """Whether lines of at most ``width`` characters break inside sentences in a share of the places where one text line follows another.
 
-    Log and table lines break nowhere. Narrow lines also make a scan where the section's path speaks of scanned pages: short lists may have no line that breaks.
+    Only LONG_SHARE of the text may stand in longer lines. Log and table lines break nowhere. Narrow lines also make a scan where the section's path speaks of
+    scanned pages: short lists may have no line that breaks.
     """
     lines = lines_of(content)
-    if max(map(len, lines)) > width:
+    if sum(len(x) for x in lines if len(x) > width) > LONG_SHARE * len(content):
         return False
     if section_path and _SCANNED.search(section_path):
         return bool(content.strip())
@@ -138,23 +140,64 @@ def slashed(phrase: str) -> str:
     return phrase[: phrase.find("/") + 1] if phrase.count(" / ") == 1 and len(phrase.split()) <= 6 else ""
 
 
-def furniture(lines: list[str], section_path: str | None, phrases: frozenset[str]) -> list[bool]:
+def furniture(lines: list[str], section_path: str | None, known: frozenset[int] = frozenset()) -> list[bool]:
+    """Which lines are page furniture; ``known`` are the lines with a phrase of the collection."""
     titles, width = titles_of(section_path), text_width(lines)
     out = []
     for i, line in enumerate(lines):
-        if not line.strip():
-            out.append(False)
-            continue
-        if _NUMBER.match(line):
-            out.append(True)
+        if not line.strip() or i in known or _NUMBER.match(line):
+            out.append(bool(line.strip()))
             continue
-        s = skeleton(core(line)) if len(line) <= PHRASE_CHARS + 20 else ""
+        s = skeleton(core(line)) if titles and len(line) <= LINE_CHARS else ""
         short = slashed(s)
-        known = bool(s) and (s in phrases or s in titles or bool(short) and (short in titles or short in phrases))
-        if not known and s and len(s) > 3 and (apart := bool(_BESIDE.search(line.replace("\f", "").strip())) or stands_alone(lines, i, width)):
-            most = 1 if len(s) < 12 else 2
-            known = apart and (any(_near(short or s, t, most) for t in titles) or any(_near(s, p, most) for p in phrases if abs(len(p) - len(s)) <= most and (p[:2] == s[:2] or p[-2:] == s[-2:])))
-        out.append(known)
+        is_title = bool(s) and (s in titles or bool(short) and short in titles)
+        if not is_title and len(s) > 3 and (_BESIDE.search(line.replace("\f", "").strip()) or stands_alone(lines, i, width)):
+            is_title = any(_near(short or s, t, _edits(s)) for t in titles)
+        out.append(is_title)
+    return out
+
+
+def _edits(phrase: str) -> int:
+    """Edits within which two phrases are taken for one."""
+    return 1 if len(phrase) < 12 else 2
+
+
+def phrase_lines(content: str) -> list[tuple[int, str, bool, bool, bool]]:
+    """(line, phrase, apart, alone, edge) of the lines that may be furniture: whether the line stands apart from the text, whether it is so clearly alone that it
+    speaks for the phrase, and whether it stands at the edge of a page (the section's end, a form feed, a page number beside it or in it)."""
+    lines = lines_of(content)
+    width, out = text_width(lines), []
+    text = [i for i, x in enumerate(lines) if x.strip()]
+    for k, i in enumerate(text):
+        line = lines[i]
+        if len(line) > LINE_CHARS or _NUMBER.match(line) or len(s := skeleton(core(line))) < 4:
+            continue
+        numbered, capital = bool(_BESIDE.search(line.replace("\f", "").strip())), core(line)[:1].isupper()
+        apart = numbered or stands_alone(lines, i, width)
+        if not apart and not capital:
+            continue
+        beside = [lines[text[j]] for j in (k - 1, k + 1) if 0 <= j < len(text)]
+        edge = numbered or k in (0, len(text) - 1) or "\f" in line or any("\f" in x or _NUMBER.match(x) for x in beside)
+        alone = capital and stands_alone(lines, i, width, True)
+        out.append((i, s, apart, alone, edge))
+        if short := slashed(s):
+            out.append((i, short, False, alone, edge))
+    return out
+
+
+def _parts(phrase: str, most: int) -> list[tuple[int, str]]:
+    """The phrase in most + 1 parts of about equal length, as (start, part)."""
+    cuts = [len(phrase) * i // (most + 1) for i in range(most + 2)]
+    return [(a, phrase[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _probes(phrase: str, most: int) -> set[str]:
+    """Keys that every phrase within ``most`` edits has one of among its own: its length, edits, part number and a part, shifted by what edits may shift."""
+    out = set()
+    for n in range(max(1, len(phrase) - most), len(phrase) + most + 1):
+        cuts = [n * i // (most + 1) for i in range(most + 2)]
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            out |= {f"{n}|{most}|{i}|{phrase[x : x + b - a]}" for x in range(max(0, a - most), min(len(phrase) - (b - a), a + most) + 1)}
     return out
 
 
@@ -261,24 +304,42 @@ def scans_of(sections: DataFrame, flag: str) -> tuple[DataFrame, DataFrame]:
     return stage_table(last, "scans"), stage_table(counts.where(F.col("n") >= KNOWN), "lexicon")
 
 
-def furniture_phrases(scans: DataFrame) -> frozenset[str]:
-    """Skeletons of the lines that stand alone in REPEATED scans or more. The number of such phrases is checked."""
+def mark_furniture(scans: DataFrame) -> DataFrame:
+    """The scans with ``known``: the numbers of the lines that hold a furniture phrase of the collection, exactly or misread.
+
+    A phrase is furniture if it stands clearly alone in REPEATED places or more, in one scan or in many, and a share of EDGE_SHARE of them is at the edge of a page:
+    nothing in it depends on the number of scans. All steps are joins over lines and phrases, so neither need fit anywhere.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            n: Counter[str] = Counter()
-            for c in b.content:
-                lines = lines_of(c)
-                width = text_width(lines)
-                found = {skeleton(core(x)) for i, x in enumerate(lines) if x.strip() and len(x) <= PHRASE_CHARS and not _NUMBER.match(x) and core(x)[:1].isupper() and stands_alone(lines, i, width, True)}
-                n.update(found | {slashed(x) for x in found})
-            yield pd.DataFrame(list(n.items()), columns=["phrase", "n"])
+            rows = [(key, *x) for key, c in zip(b.section_id, b.content, strict=True) for x in phrase_lines(c)]
+            yield pd.DataFrame(rows, columns=["section_id", "line_no", "phrase", "apart", "alone", "edge"])
 
-    least = max(REPEATED, REPEATED_SHARE * scans.count())
-    rows = scans.select("content").mapInPandas(run, "phrase string, n long").groupBy("phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) & (F.length("phrase") > 3)).limit(MAX_PHRASES + 1).collect()
-    if len(rows) > MAX_PHRASES:
-        raise ValueError(f"more than {MAX_PHRASES} furniture phrases")
-    return frozenset(r.phrase for r in rows)
+    def keyed(probes: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if probes:
+                    pairs = [(p, k) for p in b.phrase for k in _probes(p, _edits(p))]
+                else:
+                    pairs = [(p, f"{len(p)}|{most}|{i}|{part}") for p in b.phrase for most in (1, 2) for i, (_, part) in enumerate(_parts(p, most))]
+                yield pd.DataFrame(pairs, columns=["phrase", "key"])
+
+        return run
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.loc[[_near(x, y, _edits(x)) for x, y in zip(b.phrase, b.other, strict=True)], ["phrase"]]
+
+    lines = stage_table(scans.select("section_id", "content").mapInPandas(run, "section_id string, line_no int, phrase string, apart boolean, alone boolean, edge boolean"), "phrase-lines")
+    counted = lines.where("alone").groupBy("phrase").agg(F.count(F.lit(1)).alias("n"), F.count_if("edge").alias("edges"))
+    phrases = stage_table(counted.where((F.col("n") >= REPEATED) & (F.col("edges") >= EDGE_SHARE * F.col("n"))).select("phrase"), "phrases")
+    others = lines.where("apart").select("phrase").distinct().join(phrases, "phrase", "left_anti").mapInPandas(keyed(True), "phrase string, key string")
+    index = phrases.mapInPandas(keyed(False), "phrase string, key string").withColumnRenamed("phrase", "other")
+    misread = others.join(index, "key").select("phrase", "other").distinct().mapInPandas(check, "phrase string").distinct()
+    hits = lines.join(phrases, "phrase", "left_semi").select("section_id", "line_no").unionByName(lines.where("apart").join(misread, "phrase", "left_semi").select("section_id", "line_no"))
+    known = hits.groupBy("section_id").agg(F.collect_set("line_no").alias("known"))
+    return stage_table(scans.join(known, "section_id", "left"), "marked-scans")
 
 
 def frequent_words(lexicon: DataFrame) -> frozenset[str]:
@@ -291,22 +352,26 @@ def _pair(a: str, b: str) -> int:
     return zlib.crc32(f"{a} {b}".encode("utf-8", "replace")) % PAIR_BUCKETS
 
 
-def findings(scans: DataFrame, phrases: frozenset[str], frequent: frozenset[str]) -> DataFrame:
-    """All that one pass over the scans can tell: page furniture, broken words (with the line they go on in), words that are not frequent (with
+def line_set(known: object) -> frozenset[int]:
+    return frozenset() if known is None else frozenset(int(i) for i in known)
+
+
+def findings(scans: DataFrame, frequent: frozenset[str]) -> DataFrame:
+    """All that one pass over the marked scans can tell: page furniture, broken words (with the line they go on in), words that are not frequent (with
     their neighbours), and each partition's counts of hashed word pairs, in slices."""
-    shared = scans.sparkSession.sparkContext.broadcast((phrases, frequent))
+    shared = scans.sparkSession.sparkContext.broadcast(frequent)
 
     def known(w: str) -> bool:
-        return w in shared.value[1] or ("-" in w and all(p in shared.value[1] for p in w.split("-")))
+        return w in shared.value or ("-" in w and all(p in shared.value for p in w.split("-")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pairs = np.zeros(PAIR_BUCKETS, np.int32)
         columns = ["kind", "section_id", "line_no", "next_line", "at", "word", "low", "hyphened", "before", "after", "slice", "counts"]
         for b in batches:
             rows: list[tuple] = []
-            for key, path, c in zip(b.section_id, b.section_path, b.content, strict=True):
+            for key, path, c, marks in zip(b.section_id, b.section_path, b.content, b.known, strict=True):
                 lines = lines_of(c)
-                f = furniture(lines, path, shared.value[0])
+                f = furniture(lines, path, line_set(marks))
                 words, breaks = text_tokens(lines, f)
                 onto = dict(breaks)
                 rows += [("furniture", key, i, *[None] * 9) for i, x in enumerate(f) if x]
@@ -379,17 +444,18 @@ def corrections(found: DataFrame, lexicon: DataFrame) -> DataFrame:
     return words.join(repairs, "low").select("section_id", "line_no", "next_line", "at", "word", choose("low", "before", "after", "candidates").alias("repaired"))
 
 
-def analyse(sections: DataFrame, flag: str = "parser_capability.supports_ocr_fallback") -> tuple[DataFrame, frozenset[str], DataFrame, DataFrame, DataFrame]:
-    """Scans, furniture phrases, findings, corrections and lexicon of a table of sections."""
+def analyse(sections: DataFrame, flag: str = "parser_capability.supports_ocr_fallback") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Marked scans, findings, corrections and lexicon of a table of sections."""
+    ship_package(sections.sparkSession)
     scans, lexicon = scans_of(sections, flag)
-    phrases = furniture_phrases(scans)
-    found = findings(scans, phrases, frequent_words(lexicon))
-    return scans, phrases, found, corrections(found, lexicon), lexicon
+    scans = mark_furniture(scans)
+    found = findings(scans, frequent_words(lexicon))
+    return scans, found, corrections(found, lexicon), lexicon
 
 
 def found_noise(sections: DataFrame, flag: str = "parser_capability.supports_ocr_fallback") -> DataFrame:
     """(section_id, line_no, noise_kind): page_furniture, broken_word and misread lines of all scans, one row per line and kind."""
-    _, _, found, fixes, _ = analyse(sections, flag)
+    _, found, fixes, _ = analyse(sections, flag)
     kind = F.when(F.col("kind") == "furniture", "page_furniture").otherwise("broken_word")
     plain = found.where("kind in ('furniture', 'break')").select("section_id", F.col("line_no").cast("long").alias("line_no"), kind.alias("noise_kind"))
 
@@ -421,13 +487,13 @@ def cased(read: str, repaired: str) -> str:
     return repaired[:1].upper() + repaired[1:] if read[:1].isupper() else repaired
 
 
-def repair_text(content: str, section_path: str | None, phrases: frozenset[str], fixes: dict[tuple[int, int], str], joined: dict[str, str]) -> str:
+def repair_text(content: str, section_path: str | None, known: frozenset[int], fixes: dict[tuple[int, int], str], joined: dict[str, str]) -> str:
     """Continuous paragraphs, a blank line between them; list items keep their lines.
 
-    fixes: repaired words by (line, offset); joined: for words over two lines, in lower case without break, the spelling to use.
+    known: lines with a furniture phrase; fixes: repaired words by (line, offset); joined: for words over two lines, in lower case without break, the spelling to use.
     """
     lines = lines_of(content)
-    drop = furniture(lines, section_path, phrases)
+    drop = furniture(lines, section_path, known)
     words, breaks = text_tokens(lines, drop)
     by_line: dict[int, list[tuple[int, str]]] = {}
     for i, at, w in words:
@@ -491,8 +557,7 @@ def repair_text(content: str, section_path: str | None, phrases: frozenset[str],
 
 def repaired_sections(sections: DataFrame, flag: str = "parser_capability.supports_ocr_fallback") -> DataFrame:
     """(section_id, clean_content) of every scan. Null contents and sections that are no scans have no row; a section delivered again counts once, as its last version."""
-    scans, phrases, found, fixes, lexicon = analyse(sections, flag)
-    shared = sections.sparkSession.sparkContext.broadcast(phrases)
+    scans, found, fixes, lexicon = analyse(sections, flag)
     halves_ = found.where("kind = 'break'").select("section_id", "low", "hyphened")
     known = lexicon.select(F.col("word").alias("low"), F.lit(True).alias("plain"))
     kept = halves_.join(known, "low", "left").where("plain is null").join(lexicon.select(F.col("word").alias("hyphened")), "hyphened", "left_semi")
@@ -502,8 +567,8 @@ def repaired_sections(sections: DataFrame, flag: str = "parser_capability.suppor
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             clean = [
-                repair_text(c, path, shared.value, {} if f is None else {(x["line_no"], x["at"]): x["repaired"] for x in f}, dict(j or {}))
-                for path, c, f, j in zip(b.section_path, b.content, b.fixes, b.joined, strict=True)
+                repair_text(c, path, line_set(marks), {} if f is None else {(x["line_no"], x["at"]): x["repaired"] for x in f}, dict(j or {}))
+                for path, c, marks, f, j in zip(b.section_path, b.content, b.known, b.fixes, b.joined, strict=True)
             ]
             yield pd.DataFrame({"section_id": b.section_id, "clean_content": clean})
 

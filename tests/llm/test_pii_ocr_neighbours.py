@@ -109,6 +109,27 @@ def test_scan_repair(spark):
     assert ocr_repair.found_noise(df.limit(0), "flag").count() == 0 and ocr_repair.repaired_sections(df.limit(0), "flag").count() == 0
 
 
+def test_furniture_does_not_depend_on_the_number_of_scans(spark):
+    """A header on a few scans, exactly or misread, is found whatever else lies in the table; one long line makes no scan of other sections."""
+    body = scan(CLEAN * 6)
+    page = lambda header: "\n".join([header, *body[:4], "- 7 -", "", header, *body[4:]])
+    long = page("Kestrel operator notes") + "\n" + "x" * 125
+    mine = [(f"m{i}", None, page("Kestrel operator notes")) for i in range(3)] + [("wrong", None, page("Kestrel operat0r note5")), ("long", None, long)]
+    for others in (5, 400):
+        rows = mine + [(f"o{i}", None, page(f"Chapter {chr(97 + i % 26) * 9}{chr(97 + i // 26) * 9}")) for i in range(others)]
+        df = spark.createDataFrame([(*r, None, True, None) for r in rows], SECTION)
+        got = {}
+        for r in ocr_repair.found_noise(df, "flag").where("noise_kind = 'page_furniture'").collect():
+            got.setdefault(r.section_id, set()).add(r.line_no)
+        assert all(got[k] == {0, 5, 7} for k in ("m0", "m1", "m2", "wrong", "long"))
+
+
+def test_part_keys_meet_within_the_edits():
+    for a, b, most in (("field guide manual", "f1eld guide manua", 2), ("operator notes", "xoperator note", 2), ("short one", "shart one", 1), ("same", "same", 1)):
+        keys = {f"{len(b)}|{most}|{i}|{part}" for i, (_, part) in enumerate(ocr_repair._parts(b, most))}
+        assert keys & ocr_repair._probes(a, most)
+
+
 def test_context_chooses_among_all_candidates(spark):
     pairs = np.zeros(ocr_repair.PAIR_BUCKETS, np.int32)
     pairs[ocr_repair._pair("big", "xuuuvx")] = 50
