@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 from talus.functions.text import stable_id
 
 HARD_TYPES = ("table", "code", "image", "transcript")
+# Where a chunk may end, as patterns (sentence ends and blank lines; list items).
 BOUNDARY = re.compile(r"(?<=[。！？.!?])\s+|\n{2,}")
 LIST_START = re.compile(r"\n[-*]\s+|\n\d+\.\s+")
+_INK = re.compile(r"\S(?:.*\S)?", re.S)
 
 
 def windows(text: str, size: int = 512, overlap: int = 64) -> Column:
@@ -36,27 +39,23 @@ def boundary_spans(text: str, section_type: str | None = None, size: int = 512,
     After a cut the next window starts ``overlap`` before it, or one character on if that would be no progress; where no later boundary is in
     reach, the same boundary is cut again and the windows creep.
     """
-    lead = len(text) - len(text.lstrip())
-    body = text.strip()
-    if not body:
+    ink = _INK.search(text)
+    if ink is None:
         return []
-    if len(body) <= size or section_type in HARD_TYPES:
-        return [(lead, lead + len(body), f"whole_{section_type or 'section'}")]
-    cuts = sorted({0, len(body), *(m.end() for m in BOUNDARY.finditer(body)), *(m.start() + 1 for m in LIST_START.finditer(body))})
-    out, start, at = [], 0, 0
-    while start < len(body):
-        reach = min(len(body), start + size)
-        while at + 1 < len(cuts) and cuts[at + 1] <= reach:
-            at += 1
-        while at and cuts[at] > reach:
-            at -= 1
-        end = cuts[at] if cuts[at] > start else reach
-        piece = body[start:end]
-        if piece.strip():
-            out.append((lead + start + len(piece) - len(piece.lstrip()), lead + start + len(piece.rstrip()), "boundary_split"))
-        if end >= len(body):
-            break
-        start = max(end - overlap, start + 1)
+    first, last = ink.span()
+    if last - first <= size or section_type in HARD_TYPES:
+        return [(first, last, f"whole_{section_type or 'section'}")]
+    stops = np.unique([*(m.end() for m in BOUNDARY.finditer(text, first, last)), *(m.start() + 1 for m in LIST_START.finditer(text, first, last)), last])
+    # the cut of the window that starts at each offset, for all offsets at once
+    starts = np.arange(first, last)
+    best = stops[np.maximum(np.searchsorted(stops, starts + size, side="right") - 1, 0)]
+    cut = np.where((best > starts) & (best <= starts + size), best, np.minimum(starts + size, last))
+    out, at = [], first
+    while at < last:
+        end = int(cut[at - first])
+        if piece := _INK.search(text, at, end):
+            out.append((*piece.span(), "boundary_split"))
+        at = last if end == last else max(end - overlap, at + 1)
     return out
 
 

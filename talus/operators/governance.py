@@ -10,25 +10,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PRIORITY = {"pause_and_notify": 1, "require_approval": 2, "reject": 3}
-_CONDITION = re.compile(r"^\s*(?P<field>[A-Za-z_]\w*)\s*(?P<op>==|!=|>=|<=|>|<)\s*(?P<value>'[^']*'|\"[^\"]*\"|-?\d+(?:\.\d+)?)\s*$")
+_TOKEN = re.compile(r"""'[^']*'|"[^"]*"|[=!<>]+|[^\s=!<>'"]+""")
+_NUMBER = re.compile(r"-?\d+(?:\.\d+)?")
 _OPS = {"==": Column.__eq__, "!=": Column.__ne__, ">=": Column.__ge__, "<=": Column.__le__, ">": Column.__gt__, "<": Column.__lt__}
 
 
+def _clause(text: str, columns: Sequence[str]) -> Column:
+    """One ``field op literal``; anything else never holds."""
+    field, op, literal = [*_TOKEN.findall(text), "", "", ""][:3]
+    quoted = literal[:1] in ("'", '"')
+    if "".join(text.split()) != "".join((field + op + literal).split()) or not (field.isidentifier() and op in _OPS and (quoted or _NUMBER.fullmatch(literal))):
+        return F.lit(False)
+    value = F.col(field) if field in columns else F.lit(None)
+    if quoted:
+        return F.coalesce(_OPS[op](value.cast("string"), F.lit(literal[1:-1])), F.lit(False))
+    return _OPS[op](F.coalesce(value.cast("double"), F.lit(0.0)), F.lit(float(literal)))
+
+
 def compile_condition(text: str, columns: Sequence[str]) -> Column:
     """``field op literal [AND ...]`` as a column; what cannot be parsed never holds, an absent or null number reads as 0."""
-    parts = [p for p in re.split(r"\bAND\b", text) if p.strip()]
-    out = []
-    for p in parts:
-        m = _CONDITION.match(p)
-        if not m:
-            return F.lit(False)
-        v = m["value"]
-        text_value = v[0] in "'\""
-        value = F.lit(v[1:-1]) if text_value else F.lit(float(v))
-        field = F.col(m["field"]) if m["field"] in columns else F.lit(None)
-        field = field.cast("string") if text_value else F.coalesce(field.cast("double"), F.lit(0.0))
-        out.append(F.coalesce(_OPS[m["op"]](field, value), F.lit(False)))
-    return reduce(lambda a, b: a & b, out) if out else F.lit(False)
+    clauses = [_clause(c, columns) for c in re.split(r"\bAND\b", text) if c.strip()]
+    return reduce(lambda a, b: a & b, clauses) if clauses else F.lit(False)
 
 
 def hitl_actions(payloads: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:

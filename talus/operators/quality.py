@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Patterns of suspected personal data.
 PII_A = r"(?i)([A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,})|(\b\d{3}[-.]?\d{2}[-.]?\d{4}\b)"
 PII_B = (r"\b1[3-9]\d{9}\b", r"\b\d{17}[\dXx]\b", r"\b\d{12,19}\b")
 SEVERITY = ("accept", "warn", "quarantine", "reject")
