@@ -6,8 +6,8 @@ with many different words after them are given names. Words of many texts are no
 given names or after initials, which a second pass counts. The last pass finds given name or initial with surname.
 
 Every item is replaced by ``[TYPE value]``. The value of a phone or identity number is the number itself, permuted within its format by a
-keyed Feistel network: separators, length and letter places stay, check letters that were right are right again, and equal numbers get equal
-pseudonyms in all texts. E-mails, names and addresses get a keyed tag of their normalised form, equal for equal values.
+keyed Feistel network: separators, length and letter places stay, check digits and letters that were right are right again, a date of birth inside a
+number becomes another date, and equal numbers get equal pseudonyms in all texts, however they are spaced. E-mails, names and addresses get a keyed tag of their normalised form, equal for equal values.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talus.session import ship_package, stage_table
+
 ROUNDS = 10
 #: A word of at least this share of the texts, and at least so many, is frequent. So at most (words per text) / share words are.
 ORDINARY_SHARE, ORDINARY_TEXTS = 0.0005, 5
@@ -41,6 +43,7 @@ STREET_WORDS = "street lane road rise close row drive yard avenue way court plac
 STREET_ENDINGS = "gate straße strasse gasse weg allee ring platz ufer damm steig"
 STREET_STARTS = "Am An Im Zum Zur"
 NAME_CUES = r"signed|signed by|reported by|holder is|belongs to|spoke with|talked to|contact|regards|back to|behalf of|name is|attn|dear|met with"
+SURE_CUES = r"signed|signed by|reported by|holder is|belongs to|spoke with|talked to|name is|met with"
 TITLES = r"mr|mrs|ms|miss|dr|prof|herr|frau|sir|madam"
 
 _LOCAL = r"(?<![\w.+%-])[\w+%-]+(?:\.[\w+%-]+)*"
@@ -69,6 +72,8 @@ _SURNAME_FIRST = re.compile(rf"{_HEAD}({_PART}),[ ]({_PART}){_TAIL}")
 _INITIAL = re.compile(rf"{_HEAD}({_LETTERS})\.(?:[ ]{_LETTERS}\.)?[ ]({_PART}){_TAIL}")
 _CUE = re.compile(rf"(?i:\b(?:{NAME_CUES}):?,?|\b(?:{TITLES})\.?)[ ]+(?=(?:(?i:{TITLES})\.?[ ])?({_PART})(?:[ ]{_LETTERS}\.)?([ ]|,[ ])({_PART}){_TAIL})")
 _CUED_PLACE = re.compile(rf"(?i:\b(?:{NAME_CUES}):?,?|\b(?:{TITLES})\.?)[ ]+$")
+_CUES = re.compile(rf"\b(?:{'|'.join(sorted(NAME_CUES.split('|') + TITLES.split('|'), key=len, reverse=True))})\b", re.I)
+_SURE = re.compile(rf"(?:{SURE_CUES})\b", re.I)
 _TITLE = re.compile(TITLES, re.I)
 _TITLED = re.compile(r"\b(?i:mrs?|ms|dr|prof|herr|frau)\.?[ ]+$")
 WORD = re.compile(rf"{_PART}")
@@ -103,6 +108,11 @@ def name_evidence(text: str) -> list[tuple[str, str]]:
     return [p for p in out if not _TITLE.fullmatch(p[0])]
 
 
+def sure_places(text: str) -> list[str]:
+    """The capitalised words, lower-cased, of pairs after phrases that only a name follows ("reported by"; not "regards", which a team may follow)."""
+    return [w.lower() for m in _CUE.finditer(text) if _SURE.match(text, m.start()) and {_case(m[1]), _case(m[3])} <= {"title", "upper"} for w in (m[1], m[3])]
+
+
 def _case(w: str) -> str:
     return "upper" if w.isupper() else "lower" if w.islower() else "title" if w[:1].isupper() else "mixed"
 
@@ -117,38 +127,69 @@ def _surname(w: str, names: Names, sure: bool = False) -> bool:
     return low not in names.ordinary and not any(p in names.ordinary and len(p) > 3 for p in low.split("-")[:1])
 
 
-def name_places(text: str, given: frozenset[str] = frozenset()) -> tuple[set[tuple[int, int]], set[tuple[int, int]]]:
-    """Spans of the words at cues and titles, and of those beside given names or after initials."""
-    cued = {s for m in _CUE.finditer(text) for s in (m.span(1), m.span(3))}
-    beside = {m.span(2) for m in _INITIAL.finditer(text) if m[1].isupper() and _case(m[2]) in ("title", "upper")}
-    for rx, given_at in ((_GIVEN, 1), (_SURNAME_FIRST, 2)) if given else ():
+def _pairs_at(text: str, given: frozenset[str], cues: frozenset[int] = frozenset()) -> Iterator[tuple[re.Match, int]]:
+    """(match, group of the given name) of the name patterns, tried only where a given name, a cue or a middle initial says that a name may stand there.
+
+    The consumer may send the offset from which to go on; without it the next word is tried.
+    """
+    for rx, given_at in ((_GIVEN, 1), (_SURNAME_FIRST, 2)):
         at = 0
-        while m := rx.search(text, at):
-            at = m.start() + len(m[1])
-            a, b = _case(m[given_at]), _case(m[3 - given_at])
-            if m[given_at].lower() in given and (a == b or given_at == 2 and b == "upper") and (given_at == 1 or b != "lower"):
+        for w in WORD.finditer(text):
+            a, b = w.span()
+            if a < at:
+                continue
+            if given_at == 1:
+                may = text[b : b + 1] == " " and (a in cues or w[0].lower() in given or text[b + 2 : b + 4] == ". ")
+            else:
+                may = text[b : b + 2] == ", "
+            if may and (m := rx.match(text, a)):
+                at = (yield m, given_at) or b
+
+
+def cue_ends(text: str) -> frozenset[int]:
+    """Offsets at which a word stands right after a cue or title."""
+    out = set()
+    for m in _CUES.finditer(text):
+        e = m.end()
+        while text[e : e + 1] in (":", ",", ".") and e < m.end() + 2:
+            e += 1
+        if text[e : e + 1] == " ":
+            out.add(e + len(text[e:]) - len(text[e:].lstrip(" ")) if text[e + 1 : e + 2] == " " else e + 1)
+    return frozenset(out)
+
+
+def name_places(text: str, given: frozenset[str] = frozenset(), cues: bool = True) -> tuple[set[tuple[int, int]], set[tuple[int, int]]]:
+    """Spans of the words at cues and titles (if asked for), and of those beside given names or after initials."""
+    cued = {s for m in _CUE.finditer(text) for s in (m.span(1), m.span(3))} if cues else set()
+    beside = {m.span(2) for m in _INITIAL.finditer(text) if m[1].isupper() and _case(m[2]) in ("title", "upper")}
+    if given:
+        for m, given_at in _pairs_at(text, given):
+            x, y = _case(m[given_at]), _case(m[3 - given_at])
+            if m[given_at].lower() in given and (x == y or given_at == 2 and y == "upper") and (given_at == 1 or y != "lower"):
                 beside.add(m.span(3 - given_at))
     return cued, beside
 
 
 def find_names(text: str, names: Names) -> Iterator[Item]:
-    for rx, given_at in ((_GIVEN, 1), (_SURNAME_FIRST, 2)):
-        at = 0
-        while m := rx.search(text, at):
-            given, surname = m[given_at], m[3 - given_at]
-            known = given.lower() in names.given
-            fit = _case(given) == _case(surname) or (given_at == 2 and _case(surname) == "upper")
-            head = text[max(0, m.start() - 24) : m.start()]
-            cued, titled, initial = bool(_CUED_PLACE.search(head)), bool(_TITLED.search(head)), given_at == 1 and ". " in m[0]
-            if not fit or not (known or _case(given) in ("title", "upper")) or not _surname(surname, names, titled or (known and (cued or initial))):
-                at = m.start() + len(m[1])
-                continue
+    walk = _pairs_at(text, names.given, cue_ends(text))
+    found = next(walk, None)
+    while found:
+        m, given_at = found
+        given, surname = m[given_at], m[3 - given_at]
+        known = given.lower() in names.given
+        fit = _case(given) == _case(surname) or (given_at == 2 and _case(surname) == "upper")
+        head = text[max(0, m.start() - 24) : m.start()]
+        cued, titled, initial = bool(_CUED_PLACE.search(head)), bool(_TITLED.search(head)), given_at == 1 and ". " in m[0]
+        past = None
+        if fit and (known or _case(given) in ("title", "upper")) and _surname(surname, names, titled or (known and (cued or initial))):
             new = (cued or initial) and _case(given) in ("title", "upper") and (titled or given.lower() not in names.ordinary) and not _TITLE.fullmatch(given)
             if (known or new) and (given_at == 1 or _case(surname) != "lower" or cued):
                 yield Item("person", m.start(), m.end())
-                at = m.end()
-            else:
-                at = m.start() + len(m[1])
+                past = m.end()
+        try:
+            found = walk.send(past)
+        except StopIteration:
+            found = None
     for m in _INITIAL.finditer(text):
         cued = bool(_CUED_PLACE.search(text[max(0, m.start() - 24) : m.start()]))
         if _surname(m[2], names, cued and m[1].isupper()) and ((m[1].isupper() and _case(m[2]) in ("title", "upper")) or cued):
@@ -215,12 +256,30 @@ def feistel(values: Sequence[int], radices: Sequence[int], key: bytes, tweak: st
     return spread(a, radices[:h]) + spread(b, radices[h:])
 
 
-def pseudonym(value: str, key: bytes, back: bool = False) -> str:
-    """The value with its ASCII digits and letters permuted within their places; everything else stays. Equal formats are permuted together."""
-    dni = re.fullmatch(r"(\d{8})(-?)([A-Z])", value)
-    if dni and CHECK_LETTERS[int(dni[1]) % 23] == dni[3]:
-        number = pseudonym(dni[1], key, back)
-        return f"{number}{dni[2]}{CHECK_LETTERS[int(number) % 23]}"
+def _luhn(digits: str) -> str:
+    """Check digit that follows the digits."""
+    total = sum(sum(divmod(int(d) * (2 - i % 2), 10)) for i, d in enumerate(reversed(digits)))
+    return str(-total % 10)
+
+
+def _mod_11_10(digits: str) -> str:
+    p = 10
+    for d in digits:
+        p = ((int(d) + p) % 10 or 10) * 2 % 11
+    return str((11 - p) % 10)
+
+
+#: Identity numbers with a check: pattern (body, check), and what the check is for the body's digits.
+CHECKED = [
+    (re.compile(r"(\d{8})-?([A-Z])"), lambda b: CHECK_LETTERS[int(b) % 23]),
+    (re.compile(r"([XYZ]-?\d{7})-?([A-Z])"), lambda b: CHECK_LETTERS[int(str("XYZ".index(b[0])) + b[1:]) % 23]),
+    (re.compile(r"(\d{6}-\d{3})(\d)"), lambda b: _luhn(b)),
+    (re.compile(r"(\d{2} \d{3} \d{3} \d{2})(\d)"), lambda b: _mod_11_10(b)),
+]
+
+
+def _permuted(value: str, key: bytes, back: bool) -> str:
+    """ASCII digits and letters permuted within their places; everything else stays. The tweak is the format without separators."""
     place = [i for i, c in enumerate(value) if c.isascii() and c.isalnum()]
     base = [(ord("0"), 10) if value[i].isdigit() else (ord("A"), 26) if value[i].isupper() else (ord("a"), 26) for i in place]
     shape = "".join("9" if value[i].isdigit() else "A" if value[i].isupper() else "a" for i in place)
@@ -230,6 +289,49 @@ def pseudonym(value: str, key: bytes, back: bool = False) -> str:
     return "".join(out)
 
 
+def _birth_date(value: str) -> date | None:
+    """The date of a number of six digits yymmdd, taken in the years 1930 to 2029."""
+    y, m, d = int(value[:2]), int(value[2:4]), int(value[4:6])
+    try:
+        return date(1900 + y if y >= 30 else 2000 + y, m, d)
+    except ValueError:
+        return None
+
+
+def _format(value: str) -> tuple[int, bool, int]:
+    """What a pseudonym shares with its value beside places: the check that holds (its number, or -1), a date at the head, an international prefix 00."""
+    for i, (rx, check) in enumerate(CHECKED):
+        if (m := rx.fullmatch(value)) and check(re.sub(r"[^0-9A-Z]", "", m[1])) == m[2]:
+            return i, bool(re.fullmatch(r"\d{6}-\d{3}", m[1]) and _birth_date(m[1])), 0
+    return -1, False, 2 if re.fullmatch(r"00[1-9](?:\D*\d){7,}", value) else 0
+
+
+def pseudonym(value: str, key: bytes, back: bool = False) -> str:
+    """The value permuted within its format: separators, length and the places of letters stay.
+
+    A check that holds for the value holds for the pseudonym, and a date at the head of a number of the form yymmdd-nnnn stays a date. The first letter X, Y or Z of
+    such numbers and the international prefix 00 stay, as they belong to the format. Where a step leaves the format, the next one is taken, so values and pseudonyms are one to one.
+    """
+    kind = _format(value)
+    which, born, lead = kind
+    out = value
+    while True:
+        if which < 0:
+            out = out[:lead] + _permuted(out[lead:], key, back)
+        else:
+            rx, check = CHECKED[which]
+            m = rx.fullmatch(out)
+            body = m[1]
+            if born:
+                body = f"{pseudonym_date(_birth_date(body), key, date(1930, 1, 1), 36525, back):%y%m%d}-{_permuted(body[7:], key, back)}"
+            else:
+                first = 1 if body[0] in "XYZ" else 0
+                body = body[:first] + _permuted(body[first:], key, back)
+            out = body + out[m.end(1) : m.start(2)] + check(re.sub(r"[^0-9A-Z]", "", body))
+        if _format(out) == kind:
+            return out
+
+
 def pseudonym_date(d: date, key: bytes, first: date = date(1900, 1, 1), days: int = 73049, back: bool = False) -> date:
     """A date permuted among the ``days`` days from ``first`` on (by walking the cycle of a permutation of four digits in base 17)."""
     x = (d - first).days
@@ -247,11 +349,11 @@ def pseudonym_date(d: date, key: bytes, first: date = date(1900, 1, 1), days: in
 
 
 def tag(value: str, kind: str, key: bytes) -> str:
-    """Eight hex digits of the normalised value: case, white space and, for names, order and initials' dots do not matter."""
+    """Sixteen hex digits of the normalised value: case, white space and, for names, order and initials' dots do not matter."""
     low = re.sub(r"\s*[(\[{]\s*at\s*[)\]}]\s*|\s+at\s+", "@", value.lower()) if kind == "email" else value.lower()
     low = re.sub(r"\s*[(\[{]\s*dot\s*[)\]}]\s*|\s+dot\s+", ".", low) if kind == "email" else low
     low = " ".join(sorted(re.findall(r"\w+", low))) if kind == "person" else re.sub(r"[\s,]+", " ", low)
-    return f"{_prf(key, kind, low):064x}"[:8]
+    return f"{_prf(key, kind, low):064x}"[:16]
 
 
 def redact(text: str, items: Sequence[Item], key: bytes) -> str:
@@ -269,23 +371,35 @@ def latest(rows: DataFrame, id_col: str, text_cols: Sequence[str], version_col:
     cols = [F.col(c).cast("string").alias(f"t{i}") for i, c in enumerate(text_cols)]
     v = F.col(version_col).cast("timestamp") if version_col else F.lit(None).cast("timestamp")
     last = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), v.alias("v"), F.struct(*cols).alias("t"))
-    return last.groupBy("id").agg(F.max_by("t", F.struct("v", "t")).alias("t")).select("id", "t.*")
+    ship_package(rows.sparkSession)
+    return stage_table(last.groupBy("id").agg(F.max_by("t", F.struct("v", "t")).alias("t")).select("id", "t.*"), "last-texts")
 
 
 def learn_names(texts: DataFrame, cols: Sequence[str]) -> Names:
     """Given names and ordinary words of the collection (columns of text, one row per record)."""
     from collections import Counter
 
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Counts of words (texts, occurrences, occurrences at cues and at sure ones) and, with a follower, of pairs at places of names."""
         for b in batches:
-            texts, total, cued = Counter(), Counter(), Counter()
+            texts, total, cued, sure, pairs = Counter(), Counter(), Counter(), Counter(), Counter()
             for row in b[list(cols)].itertuples(index=False):
-                row = [t for t in row if isinstance(t, str)]
-                texts.update({w for t in row for w in WORD.findall(t.lower())})
-                for t in (EMAIL.sub(" . ", t) if "@" in t else t for t in row):
-                    total.update(WORD.findall(t.lower()))
+                seen: set[str] = set()
+                for t in row:
+                    if not isinstance(t, str):
+                        continue
+                    pairs.update(name_evidence(t))
+                    if "@" in t:
+                        seen.update(WORD.findall(t.lower()))
+                        t = EMAIL.sub(" . ", t)
+                    words = WORD.findall(t.lower())
+                    seen.update(words)
+                    total.update(words)
                     cued.update(t[x:y].lower() for x, y in set().union(*name_places(t)))
-            yield pd.DataFrame([(w, n, total[w], cued[w]) for w, n in texts.items()], columns=["word", "n", "total", "cued"])
+                    sure.update(sure_places(t))
+                texts.update(seen)
+            out = [(w, None, n, total[w], cued[w], sure[w]) for w, n in texts.items()] + [(g, f, n, None, None, None) for (g, f), n in pairs.items()]
+            yield pd.DataFrame(out, columns=["word", "follower", *counts]).astype({c: "Int64" for c in counts})
 
     def beside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frequent, given = shared.value
@@ -293,20 +407,16 @@ def learn_names(texts: DataFrame, cols: Sequence[str]) -> Names:
             placed: Counter[str] = Counter()
             for t in (t for row in b[list(cols)].itertuples(index=False) for t in row if isinstance(t, str)):
                 t = EMAIL.sub(" . ", t) if "@" in t else t
-                placed.update(w for x, y in name_places(t, given)[1] if (w := t[x:y].lower()) in frequent)
+                placed.update(w for x, y in name_places(t, given, False)[1] if (w := t[x:y].lower()) in frequent)
             yield pd.DataFrame(list(placed.items()), columns=["word", "placed"])
 
-    def evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            pairs = [(g, f, f not in away.value) for row in b[list(cols)].itertuples(index=False) for t in row if isinstance(t, str) for g, f in name_evidence(t)]
-            yield pd.DataFrame(pairs, columns=["given", "follower", "may"])
-
-    n = texts.count()
-    common = texts.mapInPandas(words, "word string, n long, total long, cued long").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "total", "cued")]).where(F.col("n") >= max(ORDINARY_TEXTS, ORDINARY_SHARE * n))
-    common = {r.word: r for r in common.collect()}
+    n, counts = texts.count(), ("n", "total", "cued", "sure")
+    evidence = texts.mapInPandas(first, "word string, follower string, n long, total long, cued long, sure long").groupBy("word", "follower").agg(*[F.sum(c).alias(c) for c in counts])
+    evidence = stage_table(evidence, "name-evidence")
+    common = {r.word: r for r in evidence.where(F.col("follower").isNull() & (F.col("n") >= max(ORDINARY_TEXTS, ORDINARY_SHARE * n))).collect()}
     sc = texts.sparkSession.sparkContext
-    away = sc.broadcast(frozenset(w for w, r in common.items() if r.cued < NAME_SHARE * r.total))
-    pairs = texts.mapInPandas(evidence, "given string, follower string, may boolean").groupBy("given", "follower").agg(F.first("may").cast("int").alias("may"))
+    away = evidence.where(F.col("follower").isNull() & (F.col("n") >= max(ORDINARY_TEXTS, ORDINARY_SHARE * n)) & (F.col("cued") < NAME_SHARE * F.col("total"))).select(F.col("word").alias("follower"), F.lit(0).alias("may"))
+    pairs = evidence.where(F.col("follower").isNotNull()).select(F.col("word").alias("given"), "follower").join(away, "follower", "left").withColumn("may", F.coalesce("may", F.lit(1)))
     # in addresses either may be the given name: it is the one that stands beside more others than these do
     degree = pairs.groupBy(F.col("given").alias("follower")).agg(F.count(F.lit(1)).alias("degree"))
     known = pairs.join(degree, "follower", "left").groupBy("given").agg(F.count(F.lit(1)).alias("all"), F.sum("may").alias("followers"), F.avg(F.coalesce("degree", F.lit(0))).alias("theirs"))
@@ -317,7 +427,7 @@ def learn_names(texts: DataFrame, cols: Sequence[str]) -> Names:
     given = frozenset(g for g in given if g not in common or common[g].cued >= GIVEN_SHARE * common[g].total)
     shared = sc.broadcast((frozenset(common), given))
     placed = {r.word: r.placed for r in texts.mapInPandas(beside, "word string, placed long").groupBy("word").agg(F.sum("placed").alias("placed")).collect()}
-    return Names(given, frozenset(w for w, r in common.items() if placed.get(w, 0) < max(1, NAME_SHARE * r.total)) - given)
+    return Names(given, frozenset(w for w, r in common.items() if max(placed.get(w, 0), r.sure) < max(1, NAME_SHARE * r.total)) - given)
 
 
 def find_pii(rows: DataFrame, id_col: str, text_cols: Sequence[str], version_col: str | None = None) -> DataFrame:

@@ -65,6 +65,25 @@ def test_pii_table(spark):
     assert pii.find_pii(df.limit(0), "ticket_id", ["subject"], "ingest_ts").count() == 0
 
 
+def test_checked_numbers_stay_checked():
+    for number in ("12345678Z", "X1234567L", "850709-9805", "86 095 742 719"):
+        p = pii.pseudonym(number, b"k")
+        assert p != number and pii.pseudonym(p, b"k", back=True) == number
+        assert any((m := rx.fullmatch(p)) and check("".join(c for c in m[1] if c.isalnum())) == m[2] for rx, check in pii.CHECKED)
+    assert pii._birth_date(pii.pseudonym("850709-9805", b"k"))
+    assert pii.pseudonym("+49 170 1234567", b"k").replace(" ", "")[1:] == pii.pseudonym("0049 (170) 123-4567", b"k").translate({ord(c): None for c in " ()-"})[2:]
+
+
+def test_names_found_do_not_fade_when_tickets_repeat(spark):
+    at = "/root/testdata/sf0.01/tickets.parquet"
+    if not os.path.exists(at):
+        pytest.skip("no test tables here")
+    one = spark.read.parquet(at).select("ticket_id", "subject", "description", "ingest_ts")
+    four = one.selectExpr("explode(sequence(1, 4)) as copy", "*").selectExpr("concat(ticket_id, '-', copy) as ticket_id", "subject", "description", "ingest_ts")
+    persons = [pii.find_pii(df, "ticket_id", ["subject", "description"], "ingest_ts").where("pii_kind = 'person'").count() for df in (one, four)]
+    assert persons[1] >= 0.97 * 4 * persons[0] > 0
+
+
 def test_recurring_and_short_names(spark):
     people = ["Emil Vanthor"] * 40 + ["Emil Brisnak", "Emil Kolwen", "Hanna Li", "Hanna Wexford", "Hanna Dorvane", "Noor Ng"]
     rows = [(f"T{i:02}", f"Signed: {p}. The gateway is slow again.") for i, p in enumerate(people)] + [(f"S{i}", "Regards, Edge Operations Desk. The edge operations manual is old.") for i in range(20)]
