@@ -1,29 +1,34 @@
 """Schemas that drift between files: change reports and one consistent table.
 
-Each file's lines are profiled into a schema tree (presence, JSON kind and a bounded value profile for every field); neighbouring files of a
+Each file's lines are profiled into a schema tree (presence, JSON kind and a value sketch for every field); neighbouring files of a
 feed are compared by tree edit distance with the operations keep, retype, add, delete, rename (same parent) and move (other parent); the
 renames of all files then compile into one projection per target table.
 
-Scale: the lines of a file meet in one task, those of a large file in many, and are folded to bounded profiles there, so a file or feed holding a
-third of all rows is no hot spot. Files are paired by a window over (feed, file) keys alone. Only field names reach the driver, and their
-number is checked against ``max_fields``.
+A field's sketch keeps, of all its whole values and of their shapes, the SKETCH ones with the smallest hashes, with exact counts. Sketches of parts merge to the
+sketch of the whole, so a profile does not depend on batches, parts or the order of lines.
+
+Scale: the lines of a file meet in one task, those of a large file in many, and are folded to sketches there, so a file or feed holding a
+third of all rows is no hot spot. Files are paired by a window over (feed, file) keys alone. Only field names and pairs of names that may be renames reach the
+driver; the number of names is checked against ``max_fields``.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talus.session import stage_table
+from talus.session import ship_package, stage_table
 
-#: Bounds of one field's value profile; they bound memory, not the rows looked at.
-SHAPES, VALUES = 24, 48
+#: Hashes that a field's sketch keeps of its values, and of their shapes.
+SKETCH = 64
 #: A file of more lines is profiled in so many parts.
 LARGE, PARTS = 50_000, 64
 #: A rename must cost less than this; deleting and adding costs 1 each, so the cheapest script prefers it below 2.
@@ -53,12 +58,15 @@ def parse_line(payload: object) -> dict | None:
     return o if isinstance(o, dict) else None
 
 
-def _walk(o: dict, prefix: str = "", depth: int = 0) -> Iterator[tuple[str, object, float]]:
-    n = len(o)
-    for i, (k, v) in enumerate(o.items()):
-        yield (path := f"{prefix}{k}"), v, i / n
-        if isinstance(v, dict) and depth < 50:
-            yield from _walk(v, f"{path}.", depth + 1)
+def _walk(o: dict) -> Iterator[tuple[str, object, float]]:
+    """(path, value, place among its siblings) of every field at every depth."""
+    todo = [("", o)]
+    while todo:
+        prefix, fields = todo.pop()
+        for i, (k, v) in enumerate(fields.items()):
+            yield (path := f"{prefix}{k}"), v, i / len(fields)
+            if isinstance(v, dict):
+                todo.append((f"{path}.", v))
 
 
 class _Shapes(dict):
@@ -75,15 +83,48 @@ _RUN = re.compile(r"(.)\1+", re.S)
 
 def _shape(text: str) -> str:
     """Letters become a, digits 9, runs are folded: cus_00611 gives a_9."""
-    return _RUN.sub(r"\1", text[:200].translate(_TABLE))[:40]
+    return _RUN.sub(r"\1", text.translate(_TABLE))
+
+
+class _Sketch:
+    """Counts of the SKETCH smallest hashes of a multiset of texts: the same for any order and any division into parts that are merged."""
+
+    def __init__(self, raw: dict[str, int] | None = None) -> None:
+        self.n = {int(h): c for h, c in (raw or {}).items()}
+        self.limit = max(self.n) if len(self.n) >= SKETCH else 1 << 32
+
+    def add(self, text: str) -> None:
+        h = zlib.crc32(text.encode("utf-8", "surrogatepass")) * 0x9E3779B1 & 0xFFFFFFFF
+        if h <= self.limit:
+            self.n[h] = self.n.get(h, 0) + 1
+            if len(self.n) > 4 * SKETCH:
+                self.cut()
+
+    def cut(self) -> None:
+        if len(self.n) > SKETCH:
+            self.n = {h: self.n[h] for h in sorted(self.n)[:SKETCH]}
+        if len(self.n) == SKETCH:
+            self.limit = max(self.n)
+
+    def merge(self, o: _Sketch) -> None:
+        for h, c in o.n.items():
+            self.n[h] = self.n.get(h, 0) + c
+        self.cut()
+
+    def both(self, o: _Sketch) -> tuple[dict[int, int], dict[int, int]]:
+        """The two sketches where both are complete: up to the smaller of their limits."""
+        self.cut()
+        o.cut()
+        top = min(self.limit, o.limit)
+        return tuple({h: c for h, c in x.n.items() if h <= top} for x in (self, o))
 
 
 class _Profile:
-    """Of one field: lines, kinds, summed place among its siblings, frequent shapes and values."""
+    """Of one field: lines, kinds, summed place among its siblings, sketches of shapes and values, range of numbers, summed length of shapes."""
 
     def __init__(self, raw: list | None = None) -> None:
-        n, kinds, place, shapes, values, number = raw or [0, {}, 0.0, {}, {}, None]
-        self.n, self.kinds, self.place, self.shapes, self.values, self.number = n, Counter(kinds), place, Counter(shapes), Counter(values), number
+        n, kinds, place, shapes, values, number, length = raw or [0, {}, 0.0, {}, {}, None, 0]
+        self.n, self.kinds, self.place, self.shapes, self.values, self.number, self.length = n, Counter(kinds), place, _Sketch(shapes), _Sketch(values), number, length
 
     def add(self, v: object, place: float) -> None:
         self.n += 1
@@ -91,24 +132,28 @@ class _Profile:
         self.place += place
         if kind == "string" or kind == "array":
             text = v if kind == "string" else json.dumps(v, ensure_ascii=False)
-            self.shapes[_shape(text)] += 1
-            self.values[text[:80]] += 1
+            shape = _shape(text)
+            self.shapes.add(shape)
+            self.values.add(text)
+            self.length += len(shape)
         elif kind == "number":
             self.number = [min(v, (self.number or [v, v])[0]), max(v, (self.number or [v, v])[1])]
-            self.values[str(v)] += 1
+            self.values.add(str(v))
 
     def merge(self, o: _Profile) -> None:
         self.n += o.n
         self.place += o.place
+        self.length += o.length
         self.kinds.update(o.kinds)
-        self.shapes.update(o.shapes)
-        self.values.update(o.values)
+        self.shapes.merge(o.shapes)
+        self.values.merge(o.values)
         if o.number:
             self.number = [min(o.number[0], (self.number or o.number)[0]), max(o.number[1], (self.number or o.number)[1])]
 
     def raw(self) -> list:
-        top = lambda c, n: dict(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:n])
-        return [self.n, dict(self.kinds), self.place, top(self.shapes, SHAPES), top(self.values, VALUES), self.number]
+        self.shapes.cut()
+        self.values.cut()
+        return [self.n, dict(self.kinds), self.place, self.shapes.n, self.values.n, self.number, self.length]
 
     def kind(self) -> str | None:
         """The kind of most non-null values; ties by name, None where all values are null."""
@@ -150,9 +195,11 @@ def file_schemas(records: DataFrame) -> DataFrame:
     cols = records.select("record_id", "feed", "file_name", "target_table", F.col("exported_at").cast("timestamp").alias("exported_at"), "payload").dropna(subset=["feed", "file_name"])
     # the lines of a file go to one task, those of a large file to PARTS tasks; there are at most (lines / LARGE) large files
     large = cols.groupBy("feed", "file_name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE).select("feed", "file_name", F.lit(True).alias("large"))
-    part = F.when(F.col("large"), F.pmod(F.xxhash64("record_id"), F.lit(PARTS))).otherwise(0).alias("part")
-    spread = cols.join(F.broadcast(large), ["feed", "file_name"], "left").select(*cols.columns, part).repartition("feed", "file_name", "part")
-    lines = spread.dropDuplicates(["feed", "file_name", "part", "record_id"]).sortWithinPartitions("feed", "file_name").drop("record_id", "part")
+    # a line without record_id repeats another only if its payload does
+    same = F.coalesce("record_id", F.concat(F.lit("\0"), F.coalesce("payload", F.lit(""))))
+    part = F.when(F.col("large"), F.pmod(F.xxhash64(same), F.lit(PARTS))).otherwise(0).alias("part")
+    spread = cols.join(large, ["feed", "file_name"], "left").select(*cols.columns, part, F.xxhash64(same).alias("same")).repartition("feed", "file_name", "part")
+    lines = spread.dropDuplicates(["feed", "file_name", "part", "same"]).sortWithinPartitions("feed", "file_name").drop("record_id", "part", "same")
     schema = "feed string, file_name string, target_table string, exported_at timestamp, profile string"
     return lines.mapInPandas(_profiles, schema).groupBy("feed", "file_name").applyInPandas(_merged, schema)
 
@@ -190,8 +237,9 @@ def _name_likeness(a: str, b: str) -> float:
     return max(0.9 * tokens, letters if letters >= 0.75 else 0.0)
 
 
-def _overlap(a: Counter, b: Counter) -> float:
+def _overlap(x: _Sketch, y: _Sketch) -> float:
     """Shared mass of two distributions."""
+    a, b = x.both(y)
     na, nb = sum(a.values()), sum(b.values())
     return sum(min(a[k] / na, b[k] / nb) for k in a if k in b) if na and nb else 0.0
 
@@ -213,9 +261,10 @@ def _value_likeness(a: _Profile, b: _Profile) -> tuple[float, float]:
     if ka == "object":
         return 0.5, 0.2
     same, shapes = _overlap(a.values, b.values), _overlap(a.shapes, b.shapes)
-    free = len(shapes_of := a.shapes | b.shapes) > 6 and sum(shapes_of.values()) < 3 * len(shapes_of)
-    if free:  # running text: shapes hardly repeat, the lengths do
-        la, lb = (sum(len(k) * n for k, n in p.shapes.items()) / max(1, sum(p.shapes.values())) for p in (a, b))
+    mine, others = a.shapes.both(b.shapes)
+    largest = {h: max(mine.get(h, 0), others.get(h, 0)) for h in mine | others}
+    if len(largest) > 6 and sum(largest.values()) < 3 * len(largest):  # running text: shapes hardly repeat, the lengths do
+        la, lb = (p.length / max(1, p.kinds["string"] + p.kinds["array"]) for p in (a, b))
         shapes = max(shapes, min(la, lb) / max(la, lb, 1))
     return max(same, 0.9 * shapes), 0.8 if same > 0.3 else 0.6
 
@@ -231,117 +280,141 @@ def rename_cost(old: str, a: _Profile, new: str, b: _Profile, children: tuple[se
     return 1 - (0.5 * name + weight * value + 0.25 * place) / told + 0.15 * moved
 
 
-def _assign(cost: list[list[float]]) -> list[int]:
-    """Hungarian method: for each row the column of a cheapest assignment; as many columns as rows or more."""
-    n, m = len(cost), len(cost[0]) if cost else 0
-    u, v, match = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
-    for i in range(1, n + 1):
-        match[0], j0, least, used, way = i, 0, [float("inf")] * (m + 1), [False] * (m + 1), [0] * (m + 1)
+def _assign(cost: np.ndarray) -> np.ndarray:
+    """Hungarian method by shortest augmenting paths: for each row the column of a cheapest assignment; as many columns as rows or more."""
+    cost = np.asarray(cost, float)
+    n, m = cost.shape
+    u, v, row_of = np.zeros(n), np.zeros(m), np.full(m, -1)
+    for start in range(n):
+        dist, back, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
+        at, last, far = start, -1, 0.0
         while True:
-            used[j0], i0, delta, j1 = True, match[j0], float("inf"), 0
-            for j in range(1, m + 1):
-                if not used[j]:
-                    if (c := cost[i0 - 1][j - 1] - u[i0] - v[j]) < least[j]:
-                        least[j], way[j] = c, j0
-                    if least[j] < delta:
-                        delta, j1 = least[j], j
-            for j in range(m + 1):
-                if used[j]:
-                    u[match[j]] += delta
-                    v[j] -= delta
-                else:
-                    least[j] -= delta
-            if match[j0 := j1] == 0:
+            step = far + cost[at] - u[at] - v
+            better = ~done & (step < dist)
+            dist[better], back[better] = step[better], last
+            last = int(np.argmin(np.where(done, np.inf, dist)))
+            far = dist[last]
+            done[last] = True
+            if row_of[last] < 0:
                 break
-        while j0:
-            match[j0], j0 = match[way[j0]], way[j0]
-    out = [0] * n
-    for j in range(1, m + 1):
-        if match[j]:
-            out[match[j] - 1] = j - 1
+            at = row_of[last]
+        slack = far - dist[done]
+        held = row_of[done]
+        u[held[held >= 0]] += slack[held >= 0]
+        u[start] += far
+        v[done] -= slack
+        while last >= 0:
+            before = back[last]
+            row_of[last] = row_of[before] if before >= 0 else start
+            last = before
+    out = np.zeros(n, np.int64)
+    out[row_of[row_of >= 0]] = np.flatnonzero(row_of >= 0)
     return out
 
 
-def edit_script(old: dict[str, _Profile], new: dict[str, _Profile], together: frozenset[tuple[str, str]] = frozenset()) -> list[tuple[str, str, str]]:
-    """Cheapest script from one schema tree to the other: (change_kind, field_path, new_path), fields below a changed field left out.
+def unmatched(old: dict[str, _Profile], new: dict[str, _Profile]) -> tuple[list[str], list[str], list[str]]:
+    """(kept under another kind, only old, only new) among the children of kept fields. A field under an equal path is the same field."""
 
-    Children of matched nodes with equal names are kept or retyped. The others of the same parent are assigned to one another at rename_cost
-    against one deletion and one addition; what stays over is assigned once more across parents (moves, which cost more). Names that occur
-    together in some file (pairs of ``together``, smaller first) hold different information, so no rename joins them.
-    """
-    kids = lambda fields, parent: {p for p in fields if p.rpartition(".")[0] == parent}
-    leaves = lambda fields, p: {x[len(p) + 1 :] for x in fields if x.startswith(p + ".")}
-    script: list[tuple[str, str, str]] = []
-    gone: list[str] = []
-    come: list[str] = []
-
-    def settle(olds: list[str], news: list[str], moved: bool) -> None:
-        if olds and news:
-            size = len(olds) + len(news)
-            paid = [[9.0 if (min(o, n), max(o, n)) in together else rename_cost(o, old[o], n, new[n], (leaves(old, o), leaves(new, n)), moved) for n in news] for o in olds]
-            cost = [[2 * paid[i][j] / (2 * RENAME_LIMIT) if i < len(olds) and j < len(news) else (1.0 if (i < len(olds)) != (j < len(news)) else 0.0) for j in range(size)] for i in range(size)]
-            for i, j in enumerate(_assign(cost)):
-                if i < len(olds) and j < len(news) and paid[i][j] < RENAME_LIMIT:
-                    script.append(("renamed", olds[i], news[j]))
-        done_old, done_new = {s[1] for s in script}, {s[2] for s in script}
-        olds[:], news[:] = [o for o in olds if o not in done_old], [n for n in news if n not in done_new]
-
-    todo = [""]
+    def children(fields: dict[str, _Profile]) -> dict[str, set[str]]:
+        out = defaultdict(set)
+        for p in fields:
+            out[p.rpartition(".")[0]].add(p)
+        return out
+
+    mine, others = children(old), children(new)
+    retyped, gone, come, todo = [], [], [], [""]
     while todo:
         parent = todo.pop()
-        a, b = kids(old, parent), kids(new, parent)
+        a, b = mine[parent], others[parent]
         for p in sorted(a & b):
             ka, kb = old[p].kind(), new[p].kind()
             if ka and kb and ka != kb:
-                script.append(("retyped", p, ""))
+                retyped.append(p)
             else:
                 todo.append(p)
-        olds, news = sorted(a - b), sorted(b - a)
-        settle(olds, news, False)
-        gone += olds
-        come += news
-    settle(gone, come, True)
+        gone += sorted(a - b)
+        come += sorted(b - a)
+    return retyped, gone, come
+
+
+def edit_script(old: dict[str, _Profile], new: dict[str, _Profile], together: frozenset[tuple[str, str]] = frozenset()) -> list[tuple[str, str, str]]:
+    """Cheapest script from one schema tree to the other: (change_kind, field_path, new_path), fields below a changed field left out.
+
+    Equal paths are kept at no cost, as the problem defines a field by its path. All other nodes, of all levels at once, take part in one cheapest assignment: a rename
+    (same parent) or move (another parent, which costs more) at rename_cost, a deletion or an addition at 1 each. Names that occur together in some file
+    (pairs of ``together``, smaller first) hold different information, so no rename joins them.
+    """
+    retyped, gone, come = unmatched(old, new)
+    leaves = lambda fields, p: {x[len(p) + 1 :] for x in fields if x.startswith(p + ".")}
+    script = [("retyped", p, "") for p in retyped]
+    if gone and come:
+        below_old, below_new = {p: leaves(old, p) for p in gone}, {p: leaves(new, p) for p in come}
+
+        def pay(o: str, n: str) -> float:
+            return 9.0 if (min(o, n), max(o, n)) in together else rename_cost(o, old[o], n, new[n], (below_old[o], below_new[n]), o.rpartition(".")[0] != n.rpartition(".")[0])
+
+        paid = np.array([[pay(o, n) for n in come] for o in gone])
+        # a pair saves one deletion and one addition; the other columns stand for deletions
+        cost = np.concatenate([paid / RENAME_LIMIT - 1, np.ones((len(gone), len(gone)))], axis=1)
+        for i, j in enumerate(_assign(cost)):
+            if j < len(come) and paid[i, j] < RENAME_LIMIT:
+                script.append(("renamed", gone[i], come[j]))
+        done_old, done_new = {x[1] for x in script}, {x[2] for x in script}
+        gone, come = [o for o in gone if o not in done_old], [n for n in come if n not in done_new]
     return script + [("removed", p, "") for p in gone] + [("added", p, "") for p in come]
 
 
-def _pairs_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known: set[tuple[str, str, str]] = set()
-    for b in batches:
-        fresh = set()
-        for target, profile in zip(b.target_table, b.profile, strict=True):
-            names = sorted(json.loads(profile))
-            fresh |= {(target, x, y) for i, x in enumerate(names) for y in names[i + 1 :]}
-        yield pd.DataFrame(sorted(fresh - known, key=str), columns=["target_table", "a", "b"])
-        known |= fresh
-
-
-def names_together(schemas: DataFrame, max_fields: int = 5000) -> dict[str | None, frozenset[tuple[str, str]]]:
-    """Of each target table, the pairs of field names (smaller first) that some file has both of. The number of field names is checked, so the pairs are bounded."""
-    names = schemas.select("target_table", F.explode(F.map_keys(F.from_json("profile", "map<string,string>"))).alias("path")).distinct()
-    if (n := names.limit(max_fields + 1).count()) > max_fields:
+def _read_profiles(text: str) -> dict[str, _Profile]:
+    return {p: _Profile(r) for p, r in json.loads(text).items()}
+
+
+def _neighbours(schemas: DataFrame) -> DataFrame:
+    """Each file with the profile of the file before it in its feed."""
+    order = Window.partitionBy("feed").orderBy("exported_at", "file_name")
+    pairs = schemas.select("feed", "file_name", "exported_at").withColumn("previous", F.lag("file_name").over(order)).drop("exported_at").where(F.col("previous").isNotNull())
+    after = schemas.select("feed", "file_name", "target_table", "profile")
+    before = schemas.select("feed", F.col("file_name").alias("previous"), F.col("profile").alias("before"))
+    return pairs.join(after, ["feed", "file_name"]).join(before, ["feed", "previous"]).drop("previous")
+
+
+def names_together(schemas: DataFrame, neighbours: DataFrame, max_fields: int = 5000) -> dict[str | None, frozenset[tuple[str, str]]]:
+    """Of each target table, those pairs of field names (smaller first) that might be a rename between two files, but some file has both of.
+
+    Asked are only pairs of a name that one file lost with a name that the same file gained; they are looked up in the distinct sets of names. The number of field names is checked.
+    """
+    sets = stage_table(schemas.select("target_table", F.array_sort(F.map_keys(F.from_json("profile", "map<string,string>"))).alias("names")).distinct(), "name-sets")
+    if (n := sets.select("target_table", F.explode("names").alias("path")).distinct().limit(max_fields + 1).count()) > max_fields:
         raise ValueError(f"more than {max_fields} field names, {n} seen")
+
+    def possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = set()
+            for target, before, after in zip(b.target_table, b.before, b.profile, strict=True):
+                _, gone, come = unmatched(_read_profiles(before), _read_profiles(after))
+                out |= {(target, min(o, n), max(o, n)) for o in gone for n in come}
+            yield pd.DataFrame(sorted(out, key=str), columns=["target_table", "a", "b"])
+
+    asked = neighbours.select("target_table", "before", "profile").mapInPandas(possible, "target_table string, a string, b string").distinct()
+    has = sets.select("target_table", "names", F.explode("names").alias("a"))
+    met = asked.join(has, asked.target_table.eqNullSafe(has.target_table) & (asked.a == has.a)).where(F.array_contains("names", F.col("b")))
     out: dict[str | None, set[tuple[str, str]]] = defaultdict(set)
-    for r in schemas.select("target_table", "profile").mapInPandas(_pairs_of, "target_table string, a string, b string").distinct().collect():
+    for r in met.select(asked.target_table, asked.a, "b").distinct().collect():
         out[r.target_table].add((r.a, r.b))
     return {k: frozenset(v) for k, v in out.items()}
 
 
-def _changes(schemas: DataFrame) -> DataFrame:
-    together = schemas.sparkSession.sparkContext.broadcast(names_together(schemas))
+def _changes(schemas: DataFrame, max_fields: int = 5000) -> DataFrame:
+    neighbours = _neighbours(schemas)
+    together = schemas.sparkSession.sparkContext.broadcast(names_together(schemas, neighbours, max_fields))
 
     def diffs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for feed, name, target, before, after in zip(b.feed, b.file_name, b.target_table, b.before, b.profile, strict=True):
-                x, y = ({p: _Profile(r) for p, r in json.loads(s).items()} for s in (before, after))
-                rows += [(feed, name, target, *c) for c in edit_script(x, y, together.value.get(target, frozenset()))]
+                rows += [(feed, name, target, *c) for c in edit_script(_read_profiles(before), _read_profiles(after), together.value.get(target, frozenset()))]
             yield pd.DataFrame(rows, columns=["feed", "file_name", "target_table", "change_kind", "field_path", "new_path"])
 
-    order = Window.partitionBy("feed").orderBy("exported_at", "file_name")
-    pairs = schemas.select("feed", "file_name", "exported_at").withColumn("previous", F.lag("file_name").over(order)).drop("exported_at").where(F.col("previous").isNotNull())
-    after = schemas.select("feed", "file_name", "target_table", "profile")
-    before = schemas.select("feed", F.col("file_name").alias("previous"), F.col("profile").alias("before"))
-    return pairs.join(after, ["feed", "file_name"]).join(before, ["feed", "previous"]).drop("previous").mapInPandas(diffs, "feed string, file_name string, target_table string, change_kind string, field_path string, new_path string")
+    return neighbours.mapInPandas(diffs, "feed string, file_name string, target_table string, change_kind string, field_path string, new_path string")
 
 
 def schema_changes(records: DataFrame) -> DataFrame:
@@ -350,6 +423,7 @@ def schema_changes(records: DataFrame) -> DataFrame:
     records: record_id, feed, file_name, target_table, exported_at, payload; further columns are ignored. A file whose lines are all invalid
     has no fields, so the next change report removes and adds all of them. An empty table gives no rows.
     """
+    ship_package(records.sparkSession)
     return _changes(stage_table(file_schemas(records), "file-schemas")).drop("target_table")
 
 
@@ -361,6 +435,7 @@ def consistent_table(records: DataFrame, target: str, max_fields: int = 5000) ->
     are text; objects and arrays keep their JSON. Fields that are objects in most files are spread into their leaves. ``.`` becomes ``__`` in column names. The number
     of field names is checked: more than max_fields raises. Repeated record_ids give one row, the last ingested.
     """
+    ship_package(records.sparkSession)
     rows = records.where(F.col("target_table") == target)
     schemas = stage_table(file_schemas(rows), "file-schemas")
     field = F.explode(F.map_entries(F.from_json("profile", "map<string,string>"))).alias("f")
@@ -371,8 +446,9 @@ def consistent_table(records: DataFrame, target: str, max_fields: int = 5000) ->
         raise ValueError(f"more than {max_fields} field names in the files of {target}")
     files = {r.path: r.files for r in counted}
     objects = {r.path for r in counted if 2 * r.objects > r.n}
-    renames = _changes(schemas).where("change_kind = 'renamed'").groupBy("field_path", "new_path").count().limit(max_fields * 10).collect()
-    pairs = seen.select("feed", "file_name", "path").join(F.broadcast(records.sparkSession.createDataFrame([(r.field_path, r.new_path) for r in renames] or [("", "")], "path string, other string")), "path")
+    # pairs of at most max_fields names
+    renames = _changes(schemas, max_fields).where("change_kind = 'renamed'").groupBy("field_path", "new_path").count().collect()
+    pairs = seen.select("feed", "file_name", "path").join(records.sparkSession.createDataFrame([(r.field_path, r.new_path) for r in renames] or [("", "")], "path string, other string"), "path")
     both = pairs.join(seen.select("feed", "file_name", F.col("path").alias("other")), ["feed", "file_name", "other"], "left_semi").select("path", "other").distinct().collect()
     clash = {(r.path, r.other) for r in both}
     root: dict[str, str] = {}
@@ -398,8 +474,8 @@ def consistent_table(records: DataFrame, target: str, max_fields: int = 5000) ->
             continue  # below a field that is mostly no object: its JSON is kept whole
         paths = ["$" + "".join(f"['{k}']" for k in p.split(".")) for p in ranked]
         cols[ranked[0].replace(".", "__")] = F.coalesce(*[F.get_json_object("payload", p) for p in paths])
-    valid = F.pandas_udf(lambda s: s.map(lambda x: parse_line(x) is not None).astype(bool), "boolean")
+    an_object = F.coalesce(F.schema_of_variant(F.try_parse_json("payload")).startswith("OBJECT"), F.lit(False))
     order = Window.partitionBy("record_id").orderBy(F.col("ingest_ts").desc(), F.col("line_no").desc(), F.col("payload"))
-    last = rows.withColumn("_n", F.row_number().over(order)).where("_n = 1 and try_parse_json(payload) is not null").where(valid("payload"))
+    last = rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").where(an_object)
     keep = ("record_id", "feed", "file_name", "exported_at", "line_no")
     return last.select(*[F.col(c).alias(f"_{c}") for c in keep], *[c.alias(n) for n, c in sorted(cols.items())])

@@ -47,6 +47,25 @@ def test_lines():
     assert parse_line('{"a": 1') is None and parse_line("[1]") is None and parse_line('{"a": NaN}') is None and parse_line(None) is None and parse_line('{"a": null}') == {"a": None}
 
 
+def test_sketches_do_not_depend_on_parts():
+    texts = [f"value {i % 300} " + "x" * (i % 7) for i in range(5000)]
+    whole, parts = _Profile(), [_Profile() for _ in range(7)]
+    for i, t in enumerate(texts):
+        whole.add(t, 0.0)
+        parts[i * 13 % 7].add(t, 0.0)
+    merged = _Profile()
+    for p in parts:
+        merged.merge(_Profile(json.loads(json.dumps(p.raw()))))
+    assert json.dumps(merged.raw(), sort_keys=True) == json.dumps(whole.raw(), sort_keys=True)
+
+
+def test_deep_fields_and_long_values_count():
+    deep = lambda leaf: {"a": json.loads('{"b":' * 80 + json.dumps(leaf) + "}" * 80)}
+    assert {c[0] for c in edit_script(tree(deep({"x": 1})), tree(deep({"y": "z"})))} == {"removed", "added"}
+    same, other = "l" * 500 + "-1", "l" * 500 + "-2"
+    assert _Profile(tree({"v": same})["v"].raw()).values.n != _Profile(tree({"v": other})["v"].raw()).values.n
+
+
 def rows(files, feed="f", target="t"):
     out = []
     for day, (name, lines) in enumerate(files, 1):
