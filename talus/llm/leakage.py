@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from talus.llm.words import blocks, word_hashes
-from talus.session import stage_table
+from talus.session import ship_package, stage_table
 
 #: Words of test text in one broadcast (about 30 bytes each).
 TEST_WORDS = 1_000_000
@@ -174,8 +174,9 @@ def _near_block(term: np.ndarray, passage: np.ndarray, bit: np.ndarray, span: np
 def near_passages(docs: DataFrame, tests: DataFrame, case_col: str, text_cols: Sequence[str], id_col: str = "doc_id", text_col: str = "text", terms: int = 10, share: float = 0.8, stretch: float = 1.5) -> DataFrame:
     """(id, case_id, terms_found, terms_asked): documents in which at least ``share`` of a test text's ``terms`` rarest distinct words stand within ``stretch`` times the text's length.
 
-    Texts of fewer than ``terms`` distinct words are not looked for. Otherwise as leaked_passages.
+    A text of fewer distinct words is asked for by all of them. Of several texts of a case the one found best counts. Otherwise as leaked_passages.
     """
+    ship_package(docs.sparkSession)
     index = build_index(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -183,31 +184,31 @@ def near_passages(docs: DataFrame, tests: DataFrame, case_col: str, text_cols: S
         test = TestSet(rows)
         counts = term_counts(index, test.terms)
         asked: list[tuple[int, int, int]] = []
-        span = np.zeros(len(test.case), np.int64)
+        span, wanted = np.zeros(len(test.case), np.int64), np.zeros(len(test.case), np.int64)
         ends = np.searchsorted(test.passage, np.arange(len(test.case) + 1))
         for p, (lo, hi) in enumerate(zip(ends, ends[1:], strict=False)):
             ids = np.unique(test.ids[lo:hi])
-            if len(ids) >= terms:
-                rare = ids[np.argsort(counts[ids], kind="stable")[:terms]]
-                asked += [(int(test.terms[i]), p, b) for b, i in enumerate(rare)]
-                span[p] = int((hi - lo) * stretch)
+            rare = ids[np.argsort(counts[ids], kind="stable")[:terms]]
+            asked += [(int(test.terms[i]), p, b) for b, i in enumerate(rare)]
+            span[p], wanted[p] = max(1, int((hi - lo) * stretch)), len(rare)
         term, passage, bit = (np.array(x, t) for x, t in zip(zip(*asked, strict=True) if asked else ([], [], []), (np.uint64, np.int64, np.int64), strict=True))
-        shared = docs.sparkSession.sparkContext.broadcast((term, passage, bit, span, test.case))
+        shared = docs.sparkSession.sparkContext.broadcast((term, passage, bit, span, wanted, test.case))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            term, passage, bit, span, case = shared.value
+            term, passage, bit, span, wanted, case = shared.value
             for b in batches:
                 out = []
                 for ids, e, t, s, p in zip(b.doc_ids, b.doc_ends, b.terms, b.starts, b.positions, strict=True):
                     arrays = (np.frombuffer(t, np.uint64), np.frombuffer(s, np.uint32).astype(np.int64), np.frombuffer(p, np.uint32), np.frombuffer(e, np.uint32).astype(np.int64))
                     doc, who, found = _near_block(term, passage, bit, span, *arrays)
-                    out += [(ids[d], case[w], f) for d, w, f in zip(doc, who, found, strict=True) if f >= share * terms]
-                yield pd.DataFrame(out, columns=["id", "case_id", "terms_found"])
+                    out += [(ids[d], case[w], f, wanted[w]) for d, w, f in zip(doc, who, found, strict=True) if f >= share * wanted[w]]
+                yield pd.DataFrame(out, columns=["id", "case_id", "terms_found", "terms_asked"])
 
-        return index.mapInPandas(run, f"id {kind}, case_id string, terms_found long")
+        return index.mapInPandas(run, f"id {kind}, case_id string, terms_found long, terms_asked long")
 
     found = reduce(DataFrame.unionByName, [search(rows) for rows in test_blocks(tests, case_col, text_cols)])
-    return found.groupBy("id", "case_id").agg(F.max("terms_found").alias("terms_found")).withColumn("terms_asked", F.lit(terms)).withColumnRenamed("id", id_col)
+    best = F.max_by(F.struct("terms_found", "terms_asked"), F.struct(F.col("terms_found") / F.col("terms_asked"), "terms_asked")).alias("b")
+    return found.groupBy("id", "case_id").agg(best).select(F.col("id").alias(id_col), "case_id", "b.*")
 
 
 def test_blocks(tests: DataFrame, case_col: str, text_cols: Sequence[str]) -> Iterator[list[Row]]:
@@ -229,9 +230,10 @@ def leaked_passages(docs: DataFrame, tests: DataFrame, case_col: str, text_cols:
     A test text of fewer than n words cannot leak. Null texts have no words; cases without id are left out; a case given more than once has
     all its texts. Empty tables give an empty result. Extra columns are ignored.
     """
+    spark = docs.sparkSession
+    ship_package(spark)
     index = build_index(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    spark = docs.sparkSession
 
     def search(rows: list[Row]) -> DataFrame:
         test = TestSet(rows)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talus.llm.words import blocks, mix, shingles, word_hashes
-from talus.session import stage_table
+from talus.session import ship_package, stage_table
 
 #: Min-hash values in each partition, and bits of a record's code.
 WIDTHS, BITS = [3] * 26 + [4] * 24, 128
@@ -155,6 +155,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null and empty texts have no words; a record of fewer than k words is in no link, one of fewer than min_words in no class. Records delivered again count once,
     as their last version (ties: the larger fingerprint). Extra columns are ignored. Empty tables give empty results.
     """
+    ship_package(docs.sparkSession)
     s = stage_table(sketches(docs, id_col, text_col, version_col, k), "sketches")
     last = s.groupBy("id").agg(F.max_by(F.struct("fp", "fp2", "n_words"), F.struct("v", "fp", "fp2")).alias("s")).select("id", "s.*").where(F.col("n_words") >= min_words)
     members = last.join(last.groupBy("fp", "fp2").agg(F.min("id").alias("class_id")), ["fp", "fp2"])

@@ -17,13 +17,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talus.session import stage_table
+from talus.session import ship_package, stage_table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public tokenizer's way of taking text apart before merging (a fixed value of that tokenizer).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Parts of each size class that are ranked by themselves.
-SHARDS = 64
+#: Items of a size class that are ranked in one task, about.
+CLASS_ROWS = 1 << 18
 #: Tokens by which the end of a window may change the number of tokens before it.
 EDGE = 16
 
@@ -160,22 +160,29 @@ def pack(items: DataFrame, size_col: str, capacity: int, order: Sequence[str]) -
     """
     size = F.coalesce(F.col(size_col), F.lit(0))
     checked = F.when((size >= 0) & (size <= capacity), size.cast("int")).otherwise(F.raise_error(F.concat(F.lit("size out of range: "), size.cast("string"))).cast("int"))
-    it = items.withColumns({"_size": checked, "_shard": F.pmod(F.xxhash64(*order), F.lit(SHARDS)).cast("int")})
-    parts = it.groupBy("_size", "_shard").agg(F.count(F.lit(1)).alias("n")).collect()  # at most (capacity + 1) * SHARDS rows
-    n = np.zeros((capacity + 1, SHARDS), np.int64)
-    for r in parts:
-        n[r["_size"], r["_shard"]] = r.n
-    before = np.cumsum(n, axis=1) - n
-    rules, _ = pack_sizes([(s, int(c)) for s, c in enumerate(n.sum(1)) if c], capacity)
+    it = items.withColumn("_size", checked)
+    sizes = {r["_size"]: r.n for r in it.groupBy("_size").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity + 1 rows
+    shards = np.ones(capacity + 1, np.int64)
+    for s, n_s in sizes.items():
+        shards[s] = -(-n_s // CLASS_ROWS)
+    spread = items.sparkSession.createDataFrame(pd.DataFrame({"_size": np.arange(capacity + 1, dtype=np.int32), "_n": shards}))
+    it = it.join(F.broadcast(spread), "_size").withColumn("_shard", F.pmod(F.xxhash64(*order), F.col("_n")).cast("int")).drop("_n")
+    first = np.cumsum(shards) - shards
+    n = np.zeros(int(shards.sum()), np.int64)
+    for r in it.groupBy("_size", "_shard").agg(F.count(F.lit(1)).alias("n")).collect():  # at most capacity + 1 + items / CLASS_ROWS rows
+        n[first[r["_size"]] + r["_shard"]] = r.n
+    before = np.cumsum(n) - n
+    before -= np.repeat(before[first], shards)
+    rules, _ = pack_sizes(list(sizes.items()), capacity)
     rule = np.array(sorted(rules), np.int64).reshape(-1, 4)
-    shared = items.sparkSession.sparkContext.broadcast((before, rule, np.searchsorted(rule[:, 0], np.arange(capacity + 2))))
+    shared = items.sparkSession.sparkContext.broadcast((before, first, rule))
     ranked = it.withColumn("_rank", F.row_number().over(Window.partitionBy("_size", "_shard").orderBy(*order)))
 
     @F.pandas_udf("long")
     def container(s: pd.Series, shard: pd.Series, rank: pd.Series) -> pd.Series:
-        before, rule, at = shared.value
+        before, first, rule = shared.value
         s = s.to_numpy(np.int64)
-        r = before[s, shard.to_numpy()] + rank.to_numpy() - 1
+        r = before[first[s] + shard.to_numpy()] + rank.to_numpy() - 1
         key = rule[:, 0] * (1 << 44) + rule[:, 1]
         i = np.searchsorted(key, s * (1 << 44) + r, side="right") - 1
         return pd.Series(rule[i, 2] + (r - rule[i, 1]) // rule[i, 3])
@@ -188,5 +195,6 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Only a text of more than ``capacity`` tokens is cut. Repeated rows are packed each for itself; null and empty texts take no space.
     """
+    ship_package(docs.sparkSession)
     items = stage_table(token_items(docs, id_col, text_col, capacity, tokenizer), "token-items")
     return pack(items, "n_tokens", capacity, ["id", "piece_no"]).withColumnRenamed("id", id_col)

@@ -6,8 +6,9 @@ P(word | level) is proportional to exp(c + a * theta), over the words of the doc
 * documents: given the words, a document's posterior mean level on a grid; it needs only the sum of its words' slopes;
 * words: given the levels in BINS bins, each word's counts per bin are a small regression of their own.
 
-One turn is one pass over the documents, which keep only the numbers of their words, and one aggregation of word counts per bin. Words are hashed into
-SLOTS numbers per language, so what is broadcast is bounded whatever the vocabulary. The start is the usual surface measure (longer words,
+One turn is one pass over the documents, which keep only the numbers of their words, and one aggregation of word counts per bin; the turns end when the
+words' slopes hold still. Words are hashed into SLOTS numbers per language, so what is broadcast is bounded whatever the vocabulary; two words of one number
+are taken for one, which concerns few of the words that occur often enough to count. The start is the usual surface measure (longer words,
 longer sentences); it also fixes which end is hard. Each language's levels are scaled to mean 0 and deviation 1. A bounded sample of human
 ratings turns levels into grades by monotone regression.
 """
@@ -24,9 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talus.llm.words import LETTERS, blocks, mix, word_hashes
-from talus.session import stage_table
+from talus.session import ship_package, stage_table
 
-SLOTS, BINS, TURNS = 1 << 18, 24, 4
+SLOTS, BINS, TURNS = 1 << 20, 24, 8
+#: The turns end when the slopes change by less than this, as a share of their size (root mean squares, words weighted by occurrences).
+STILL = 0.1
 #: Occurrences a word needs, the weight of the words against the prior, and the prior's weight on slopes.
 LEAST, TEMPER, RIDGE = 5, 0.3, 2.0
 #: Rated documents used at most (a hash sample beyond).
@@ -91,6 +94,14 @@ class Words:
             if parts:
                 self.log_z[k] = np.logaddexp.reduce(np.stack(parts), axis=0)
 
+    def change(self, before: Words) -> float:
+        """Root mean square change of the slopes against their size, words weighted by how often they occur."""
+        _, i, j = np.intersect1d(self.slots, before.slots, assume_unique=True, return_indices=True)
+        if not len(i):
+            return 0.0
+        w, a, b = np.exp(self.c[i].astype(float)), self.a[i].astype(float), before.a[j].astype(float)
+        return float(np.sqrt((w * (a - b) ** 2).sum() / max((w * a**2).sum(), 1e-12)))
+
     def levels(self, slots: list[np.ndarray], language: np.ndarray) -> np.ndarray:
         """Posterior mean levels; 0, the prior's, without known words."""
         n = len(slots)
@@ -212,6 +223,7 @@ def reading_levels(docs: DataFrame, ratings: DataFrame | None = None, id_col: st
         for b in batches:
             yield pd.concat([b[["id"]].reset_index(drop=True), measure(b.text.to_list())], axis=1) if len(b) else b.assign(language=0, slots=None, n_words=0, word_length=0.0, sentence_length=0.0).drop(columns="text")
 
+    ship_package(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     cols = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     d = stage_table(cols.mapInPandas(run, f"id {kind}, language int, slots array<int>, n_words long, word_length double, sentence_length double"), "document-words")
@@ -219,7 +231,9 @@ def reading_levels(docs: DataFrame, ratings: DataFrame | None = None, id_col: st
     scale = {r[0]: (r[1], max(r[2], 1e-6), r[3], max(r[4], 1e-6)) for r in stats}
     words: Words | None = None
     for _ in range(turns):
-        words = _word_turn(stage_table(_pass(d, words, scale), "word-counts"))
+        before, words = words, _word_turn(stage_table(_pass(d, words, scale), "word-counts"))
+        if before is not None and words.change(before) < STILL:
+            break
     shared = d.sparkSession.sparkContext.broadcast(words)
 
     def level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -231,7 +245,7 @@ def reading_levels(docs: DataFrame, ratings: DataFrame | None = None, id_col: st
     if ratings is not None:
         mean = ratings.where(F.col("grade").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.avg("grade").alias("g"))
         mean = mean.orderBy(F.xxhash64("id"), "id").limit(max_rated)
-        rated = levels.select("id", "level").join(mean, "id").select("level", "g").limit(4 * max_rated).toPandas()
+        rated = levels.select("id", "level").join(mean, "id").groupBy("id").agg(F.avg("level").alias("level"), F.first("g").alias("g")).toPandas()  # at most max_rated rows
         if len(rated):
             x, y = monotone(rated.level.to_numpy(), rated.g.to_numpy(float))
 

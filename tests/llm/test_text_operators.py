@@ -1,6 +1,7 @@
 """Splitting, packing, leakage, reading level and their edges."""
 
 import datetime as dt
+import os
 import random
 import re
 
@@ -152,6 +153,22 @@ def test_proximity_finds_reordered_passages(spark, texts):
 # --- reading level
 
 
+def test_short_items_are_asked_for_by_all_their_words(spark):
+    d = spark.createDataFrame([(1, "first reseat the blue valve then wait"), (2, "a valve that is blue and reseat it much much much later")], "doc_id long, text string")
+    q = spark.createDataFrame([("c", "reseat blue valve", None), (None, "x", "y")], "case_id string, query string, expected_answer string")
+    got = [(r.doc_id, r.case_id, r.terms_found, r.terms_asked) for r in leakage.near_passages(d, q, "case_id", ["query", "expected_answer"]).collect()]
+    assert got == [(1, "c", 3, 3)]
+
+
+def test_levels_agree_with_held_out_ratings(spark):
+    at = "/root/testdata/sf0.1"
+    if not os.path.isdir(at):
+        pytest.skip("no test tables here")
+    docs, ratings = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/reading_rating.parquet").where("grade is not null")
+    levels = reading_level.reading_levels(docs, ratings.where("doc_id % 2 = 0")).select("doc_id", "grade_score").join(ratings.where("doc_id % 2 = 1").groupBy("doc_id").agg(F.avg("grade").alias("g")), "doc_id").toPandas()
+    assert len(levels) > 100 and np.corrcoef(levels.grade_score, levels.g)[0, 1] >= 0.9
+
+
 def test_levels_follow_difficulty(spark):
     rng = random.Random(2)
     easy, hard = "cat dog sun run big red sit hat bed top".split(), "jurisdiction harmonisation interoperability provisioning remediation traceability contractual heterogeneous accountability evidentiary".split()
