@@ -7,7 +7,7 @@ import html
 import json
 import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -51,6 +51,27 @@ def tokens(c: str | Column) -> Column:
     return F.concat(F.regexp_extract_all(low, F.lit("[a-z0-9_]+"), F.lit(0)), cjk, pairs)
 
 
+def iso_time(c: str | Column) -> Column:
+    """ISO 8601 text as a timestamp: Z and offsets are kept, text without zone means UTC (the session's zone), anything else is null."""
+    t = F.trim(_col(c))
+    return F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})?)?$"), t.try_cast("timestamp"))
+
+
+def day_window(day: str | Column) -> tuple[Column, Column]:
+    """First and last microsecond of a day."""
+    first = F.date_trunc("day", _col(day).cast("timestamp"))
+    return first, first + F.expr("interval 1 day") - F.expr("interval 1 microsecond")
+
+
+def all_terms_in(query: str, *columns: str) -> Column:
+    """Whether every word of the query stands somewhere in the columns' joined text, whatever the case; an empty query holds everywhere."""
+    text = F.lower(F.concat_ws(" ", *columns))
+    out = F.lit(True)
+    for w in query.lower().split():
+        out = out & F.contains(text, F.lit(w))
+    return out
+
+
 def words(c: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(_col(c)), F.lit("[a-z0-9]+"), F.lit(0))
 
@@ -74,17 +95,23 @@ def context_prefix(title: str, path: str, most: int = 240) -> Column:
     return F.substring(F.concat_ws(" | ", F.nullif(F.col(title), F.lit("")), F.nullif(F.col(path), F.lit(""))), 1, most)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value evaluated once: inside higher-order functions an expression would be evaluated again for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def hash_embedding(c: str | Column, dim: int) -> Column:
     """Deterministic unit vector: blocks of sha256(text, zero byte, block number), eight big-endian 32-bit numbers each, mapped to -1..1."""
+    number = lambda h, i: F.conv(F.substr(h, i * 8 + 1, F.lit(8)), 16, 10).cast("double") / F.lit(2147483647.5) - F.lit(1.0)
     block = lambda b: F.sha2(F.concat(F.encode(_col(c), "utf-8"), F.unhex(F.lit("00")), F.encode(b.cast("string"), "utf-8")), 256)
-    number = lambda i: F.conv(F.substr(block(F.floor(i / 8).cast("int")), (i % 8) * 8 + 1, F.lit(8)), 16, 10).cast("double")
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: number(i) / F.lit(2147483647.5) - F.lit(1.0))
-    return unit(raw)
+    eight = F.sequence(F.lit(0), F.lit(7))
+    numbers = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(-(-dim // 8) - 1)), lambda b: let(block(b), lambda h: F.transform(eight, lambda i: number(h, i)))))
+    return unit(F.slice(numbers, 1, dim))
 
 
 def unit(v: Column) -> Column:
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(x))
+    norm = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
+    return let(v, lambda a: let(norm(a), lambda n: F.transform(a, lambda x: F.when(n > 0, x / n).otherwise(x))))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talus.functions.text import stable_id
+from talus.session import ship_package
 
 HARD_TYPES = ("table", "code", "image", "transcript")
 # Where a chunk may end, as patterns (sentence ends and blank lines; list items).
@@ -67,12 +68,28 @@ def boundary_chunks(sections: DataFrame, id_col: str, text_col: str, type_col: s
             rows = [(i, k, s, e, why, t[s:e]) for i, t, kind in zip(b.id, b.text, b.kind, strict=True) if isinstance(t, str) for k, (s, e, why) in enumerate(boundary_spans(t, kind, size, overlap))]
             yield pd.DataFrame(rows, columns=["id", "chunk_index", "span_start", "span_end", "reason", "chunk_text"])
 
+    ship_package(sections.sparkSession)
     kind = F.col(type_col).cast("string") if type_col else F.lit(None).cast("string")
     cols = sections.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), kind.alias("kind"))
     t = sections.schema[id_col].dataType.simpleString()
     return cols.mapInPandas(run, f"id {t}, chunk_index int, span_start long, span_end long, reason string, chunk_text string").withColumnRenamed("id", id_col)
 
 
+def chunk_sections(sections: DataFrame, strategy: str, size: int = 512, overlap: int = 64) -> DataFrame:
+    """One row per chunk of every section: chunk_id, section_id, section_chunk_index, span_start, span_end, reason, content, context_prefix, reason_codes.
+
+    sections(section_id, doc_id, section_path, section_type, content, parser_capability). Ids follow from section, index and strategy, so a rerun gives equal ones.
+    reason_codes are the parser's warnings, and fallback_parser_used where it fell back. A section without text has no chunk.
+    """
+    cap = F.col("parser_capability")
+    codes = F.concat(F.coalesce(cap["warnings"], F.array().cast("array<string>")), F.when(F.coalesce(cap["fallback_used"], F.lit(False)), F.array(F.lit("fallback_parser_used"))).otherwise(F.array().cast("array<string>")))
+    about = sections.select("section_id", "doc_id", "section_path", F.array_sort(F.array_distinct(codes)).alias("reason_codes"))
+    pieces = boundary_chunks(sections, "section_id", "content", "section_type", size, overlap).withColumnsRenamed({"chunk_index": "section_chunk_index", "chunk_text": "content"})
+    chunk_id = stable_id("chunk", ["section_id", "section_chunk_index", F.lit(strategy)])
+    prefix = F.substring(F.concat_ws(" | ", "doc_id", F.nullif("section_path", F.lit(""))), 1, 240)
+    return pieces.join(about, "section_id").withColumns({"chunk_id": chunk_id, "context_prefix": prefix})
+
+
 def paragraph_sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, section_index, section_path, section_type, content): paragraphs by blank lines; the first line names the section."""
     paras = F.split(F.regexp_replace(text_col, "\r\n", "\n"), r"\n\s*\n+")
@@ -94,6 +111,7 @@ def markdown_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def code_symbols(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, symbol, span_start, span_end): a symbol reaches to the next one, the last to the end of the text."""
+    ship_package(docs.sparkSession)
     pattern = re.compile(r"^(def|class|function|export function|const)\s+([A-Za-z_][A-Za-z0-9_]*)", re.M)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

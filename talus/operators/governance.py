@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -48,6 +48,18 @@ def idempotent_outcome(requests: DataFrame, seen: DataFrame, keys: Sequence[str]
     return requests.join(before, list(keys), "left").withColumn("outcome", outcome).drop("_digest")
 
 
+def apply_policy(rows: DataFrame, level: str, rules: DataFrame, columns: Mapping[str, str], strictest: str) -> DataFrame:
+    """rows with each named column kept, replaced by 16 hex digits of its sha256, or dropped to null, as its rule column of the level's row says.
+
+    rules: one row per ``level``; a row whose level is null or unknown falls under the ``strictest`` one. An unknown rule drops.
+    """
+    known = rules.select(F.col("level").alias("_level"), *[F.col(r).alias(f"_{c}") for c, r in columns.items()])
+    named = rules.select(F.col("level").alias("_named")).distinct()
+    j = rows.join(named, F.col(level) == F.col("_named"), "left").withColumn("_use", F.coalesce("_named", F.lit(strictest))).join(known, F.col("_use") == F.col("_level"))
+    masked = {c: F.when(F.col(f"_{c}") == "keep", F.col(c)).when(F.col(f"_{c}") == "hash", F.substring(F.sha2(F.col(c).cast("string"), 256), 1, 16)) for c in columns}
+    return j.withColumns(masked).select(*rows.columns)
+
+
 def daily_counts(rows: DataFrame, ts: str) -> DataFrame:
     return rows.where(F.col(ts).isNotNull()).groupBy(F.to_date(ts).alias("day")).agg(F.count(F.lit(1)).alias("n_rows"))
 

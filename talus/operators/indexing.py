@@ -32,6 +32,13 @@ def index_report(sections: DataFrame, release: str, dim: int) -> DataFrame:
     return r.withColumn("quality_gate", F.when(F.col("errors") > 0, "fail").when((F.col("total_chunks") == 0) | (F.col("embedded_chunks") < F.col("total_chunks")), "warn").otherwise("pass"))
 
 
+def usable_vector(c: str, dim: int) -> Column:
+    """Of the length, without nulls, finite, not all zero."""
+    v = F.col(c)
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return F.coalesce((F.size(v) == dim) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
 def cell_count(n: int) -> int:
     """Cells of an inverted-file index over n vectors."""
     return max(1, math.isqrt(n))
@@ -53,7 +60,7 @@ def context_blocks(hits: DataFrame, query: str, rank: str, item: str, text: str,
 
 
 def answer_gate(hits: DataFrame, queries: DataFrame, query: str, score: str, least: float = 0.6) -> DataFrame:
-    """(query, n_hits, confidence, abstain_reason): no hits, or a best score below the limit, abstains. Scores above 1 are scaled by the best one."""
+    """(query, n_hits, confidence, abstain_reason): no hits, or a best score below the limit, abstains. Scores above 1 count as 1."""
     best = hits.groupBy(query).agg(F.count(F.lit(1)).alias("n_hits"), F.max(score).alias("best"))
     g = queries.select(query).distinct().join(best, query, "left").withColumns({"n_hits": F.coalesce("n_hits", F.lit(0)), "confidence": F.round(F.coalesce(F.least(F.col("best"), F.lit(1.0)), F.lit(0.0)), 6)})
     reason = F.when(F.col("n_hits") == 0, "no_retrieval_results").when(F.col("confidence") < least, "low_retrieval_confidence")

@@ -56,30 +56,56 @@ def pii_numbers(c: str) -> Column:
     return F.coalesce(reduce(lambda a, b: a | b, [F.col(c).rlike(p) for p in PII_B]), F.lit(False))
 
 
+SYNTHETIC = "source_path_missing_synthetic_fallback"
+# Reason codes that block a chunk of a media file.
+MEDIA_BLOCKED = ("audio_transcript_sidecar_missing", "image_ocr_text_empty", "video_no_transcript_or_keyframe_ocr", "media_binary_text_fallback_blocked")
+
+
+def chunk_checks(chunks: DataFrame, anchors: DataFrame, sections: DataFrame) -> DataFrame:
+    """One row per chunk with the findings of the gate: chunk_id, empty, unanchored, orphan, incomplete, pii_suspected, reason_codes, allowed_for_indexing, status.
+
+    chunks hold one row per chunk_id, with reason_codes as an array (null counts as none). Anchors and sections may repeat; only their keys are joined.
+    """
+    anchored = anchors.select("chunk_id").dropna().distinct().withColumn("_anchored", F.lit(True))
+    known = sections.select("section_id").dropna().distinct().withColumn("_known", F.lit(True))
+    codes = F.coalesce("reason_codes", F.array().cast("array<string>"))
+    j = chunks.join(anchored, "chunk_id", "left").join(known, "section_id", "left").withColumns({
+        "empty": blank("content"), "unanchored": F.col("_anchored").isNull(), "orphan": F.col("_known").isNull(), "pii_suspected": pii_suspected("content"),
+        "incomplete": blank("chunk_id") | blank("doc_id") | blank("source_id") | blank("section_id") | blank("chunk_strategy_version") | blank("parse_strategy_version") | blank("data_release_id"),
+        "synthetic": F.array_contains(codes, SYNTHETIC), "blocked": F.arrays_overlap(codes, F.array(*[F.lit(c) for c in MEDIA_BLOCKED])), "fallback": F.array_contains(codes, "fallback_parser_used"),
+    })
+    allowed = (F.coalesce("anchor_count", F.lit(0)) > 0) & ~F.col("empty") & ~F.col("synthetic") & ~F.col("blocked") & ~F.col("pii_suspected")
+    all_codes = F.array_sort(F.array_distinct(F.when(F.col("pii_suspected"), F.array_append(codes, "pii_suspected")).otherwise(codes)))
+    status = F.when(~allowed & ~F.col("synthetic"), "fail").when(F.size(all_codes) > 0, "warn").otherwise("pass")
+    return j.select("chunk_id", "empty", "unanchored", "orphan", "incomplete", "pii_suspected", "synthetic", "blocked", "fallback", all_codes.alias("reason_codes"), allowed.alias("allowed_for_indexing"), status.alias("status"))
+
+
 def chunk_quality_gate(chunks: DataFrame, anchors: DataFrame, sections: DataFrame) -> DataFrame:
-    """One row of counts and the gate's status over all chunks: missing anchors, orphan chunks and anchors, blank chunks, suspected personal data."""
-    chunk_keys, anchor_keys = chunks.select("chunk_id").distinct(), anchors.select("chunk_id").distinct()
-    facts = chunks.agg(
-        F.count(F.lit(1)).alias("n_chunks"), F.count_if(blank("content")).alias("empty_chunks"), F.count_if(pii_suspected("content")).alias("pii_chunks"),
-        F.count_if(blank("doc_version") | blank("doc_id") | blank("source_id")).alias("metadata_incomplete"), F.count_if(F.col("parser_backend") == "fallback").alias("fallback_chunks"),
-    )
-    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    missing = count(chunk_keys.join(anchor_keys, "chunk_id", "left_anti"), "missing_anchor")
-    orphan_chunks = count(chunks.select("section_id").dropna().join(sections.select("section_id").distinct(), "section_id", "left_anti"), "orphan_chunks")
-    orphan_anchors = count(anchors.select("chunk_id").dropna().join(chunk_keys, "chunk_id", "left_anti"), "orphan_anchors")
-    g = reduce(lambda a, b: a.crossJoin(b), [facts, missing, orphan_chunks, orphan_anchors])  # one row each
-    bad = (F.col("n_chunks") == 0) | (F.col("empty_chunks") + F.col("missing_anchor") + F.col("orphan_chunks") + F.col("orphan_anchors") > 0)
-    warn = F.col("pii_chunks") + F.col("metadata_incomplete") + F.col("fallback_chunks") > 0
-    noise = F.greatest(F.lit(0.0), F.lit(1.0) - (F.col("empty_chunks") + F.col("fallback_chunks")) / F.greatest(F.col("n_chunks"), F.lit(1)))
-    return g.withColumns({"noise_score": F.round(noise, 6), "status": F.when(bad, "fail").when(warn, "warn").otherwise("pass")})
+    """One row: counts, shares, errors, warnings and the status of a set of chunks (one row per chunk_id), their anchors and sections."""
+    c = chunk_checks(chunks, anchors, sections)
+    n = lambda name: F.count_if(name).alias(f"{name}_chunks")
+    facts = c.agg(F.count(F.lit(1)).alias("n_chunks"), *[n(x) for x in ("empty", "unanchored", "orphan", "incomplete", "pii_suspected", "synthetic", "blocked", "fallback")], F.count_if("allowed_for_indexing").alias("allowed_chunks"))
+    known = chunks.select("chunk_id").dropna().distinct().withColumn("_there", F.lit(True))
+    facts2 = anchors.join(known, "chunk_id", "left").agg(
+        F.count(F.lit(1)).alias("n_anchors"), F.count_if(F.col("_there").isNull()).alias("orphan_anchors"), F.count_if((F.col("asset_type") == "pdf") & F.col("page_no").isNull()).alias("pdf_without_page")
+    )
+    g = facts.crossJoin(facts2)  # one row each
+    share = lambda k: F.round(F.coalesce((F.col("n_chunks") - F.col(k)) / F.nullif(F.col("n_chunks"), F.lit(0)), F.lit(0.0)), 4)
+    broken = {"no_chunks": F.col("n_chunks") == 0, "empty_chunks": F.col("empty_chunks") > 0, "missing_evidence_anchor": F.col("unanchored_chunks") > 0, "orphan_chunks": F.col("orphan_chunks") > 0, "orphan_anchors": F.col("orphan_anchors") > 0, "pdf_missing_page_no": F.col("pdf_without_page") > 0, "media_extraction_incomplete": F.col("blocked_chunks") > 0}
+    doubtful = {"metadata_incomplete": F.col("incomplete_chunks") > 0, "fallback_parser_used": F.col("fallback_chunks") > 0, SYNTHETIC: F.col("synthetic_chunks") > 0, "pii_suspected": F.col("pii_suspected_chunks") > 0}
+    g = g.withColumns({"metadata_completeness": share("incomplete_chunks"), "anchor_coverage": share("unanchored_chunks"), "errors": errors(broken), "warnings": errors(doubtful)})
+    return g.withColumn("status", F.when(F.size("errors") > 0, "fail").when(F.size("warnings") > 0, "warn").otherwise("pass"))
 
 
 def quality_report(gate: DataFrame) -> DataFrame:
     """Completeness, noise, evidence and coherence of a chunk gate's one row, and block, warn or pass."""
     n = F.greatest(F.col("n_chunks"), F.lit(1)).cast("double")
-    share = lambda c: F.round(F.greatest(F.lit(0.0), F.lit(1.0) - F.col(c) / n), 6)
+    share = lambda c: F.round(F.greatest(F.lit(0.0), F.lit(1.0) - c / n), 6)
     decision = F.when(F.col("status") == "fail", "block").when(F.col("status") == "warn", "warn").otherwise("pass")
-    return gate.select(share("metadata_incomplete").alias("completeness"), F.col("noise_score").alias("noise"), share("missing_anchor").alias("evidence"), F.when(F.col("status") != "fail", 1.0).otherwise(0.0).alias("coherence"), decision.alias("decision"))
+    return gate.select(
+        share(F.col("incomplete_chunks")).alias("completeness"), share(F.col("empty_chunks") + F.col("fallback_chunks")).alias("noise"), share(F.col("unanchored_chunks")).alias("evidence"),
+        F.when(F.col("status") != "fail", 1.0).otherwise(0.0).alias("coherence"), decision.alias("decision"),
+    )
 
 
 def drift(current: DataFrame, baseline: DataFrame, threshold: float) -> DataFrame:

@@ -174,20 +174,40 @@ def _profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     fields[path] = _Profile()
                 fields[path].add(v, place)
         rows = [(*k, first[k], json.dumps({p: x.raw() for p, x in f.items()})) for k, f in files.items()]
-        yield pd.DataFrame(rows, columns=["feed", "file_name", "target_table", "exported_at", "profile"])
+        yield pd.DataFrame(rows, columns=_COLUMNS)
 
 
-def _merged(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-    if len(part) == 1:
-        return part
+_COLUMNS = ["feed", "file_name", "target_table", "exported_at", "profile"]
+
+
+def _merged(parts: list[tuple]) -> tuple:
+    """One row of a file from the rows of its parts."""
+    if len(parts) == 1:
+        return parts[0]
     fields: dict[str, _Profile] = {}
-    for p in part.profile:
-        for path, raw in json.loads(p).items():
+    for *_, p in parts:
+        for path, profile in _read_profiles(p).items():
             if path in fields:
-                fields[path].merge(_Profile(raw))
+                fields[path].merge(profile)
             else:
-                fields[path] = _Profile(raw)
-    return pd.DataFrame([(key[0], key[1], part.target_table.min(), part.exported_at.min(), json.dumps({p: x.raw() for p, x in fields.items()}))], columns=["feed", "file_name", "target_table", "exported_at", "profile"])
+                fields[path] = profile
+    targets, times = [x[2] for x in parts if x[2] is not None], [x[3] for x in parts if not pd.isna(x[3])]
+    return (*parts[0][:2], min(targets, default=None), min(times, default=None), json.dumps({p: x.raw() for p, x in fields.items()}))
+
+
+def _merge_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by feed and file: the parts of each file are folded as they pass."""
+    held: list[tuple] = []
+    for b in batches:
+        out = []
+        for row in b[_COLUMNS].itertuples(index=False, name=None):
+            if held and held[0][:2] != row[:2]:
+                out.append(_merged(held))
+                held = []
+            held.append(row)
+        yield pd.DataFrame(out, columns=_COLUMNS)
+    if held:
+        yield pd.DataFrame([_merged(held)], columns=_COLUMNS)
 
 
 def file_schemas(records: DataFrame) -> DataFrame:
@@ -201,7 +221,8 @@ def file_schemas(records: DataFrame) -> DataFrame:
     spread = cols.join(large, ["feed", "file_name"], "left").select(*cols.columns, part, F.xxhash64(same).alias("same")).repartition("feed", "file_name", "part")
     lines = spread.dropDuplicates(["feed", "file_name", "part", "same"]).sortWithinPartitions("feed", "file_name").drop("record_id", "part", "same")
     schema = "feed string, file_name string, target_table string, exported_at timestamp, profile string"
-    return lines.mapInPandas(_profiles, schema).groupBy("feed", "file_name").applyInPandas(_merged, schema)
+    profiles = lines.mapInPandas(_profiles, schema).repartition("feed", "file_name").sortWithinPartitions("feed", "file_name")
+    return profiles.mapInPandas(_merge_sorted, schema)
 
 
 def _words(name: str) -> list[str]:

@@ -42,6 +42,22 @@ def partial_upsert(state: DataFrame, batch: DataFrame, key: str, mutable: Sequen
     return j.select(*[merged[c].alias(c) if c in merged else F.col(c) for c in state.columns])
 
 
+def load(rows: DataFrame, mode: str, field: str, cursor: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """The rows a load mode reads: full_snapshot and replay all, incremental_cursor and cdc those after the cursor (all without one), backfill those in [start, end).
+
+    The condition is a plain comparison, so it reaches the scan. A row without the field is in full loads only.
+    """
+    at = F.col(field)
+    if mode in ("full_snapshot", "replay"):
+        return rows
+    if mode in ("incremental_cursor", "cdc"):
+        return rows if cursor is None else rows.where(at > F.lit(cursor).cast(rows.schema[field].dataType))
+    if mode == "backfill" and start is not None and end is not None:
+        kind = rows.schema[field].dataType
+        return rows.where((at >= F.lit(start).cast(kind)) & (at < F.lit(end).cast(kind)))
+    raise ValueError(f"unknown load mode {mode}, or a backfill without a range")
+
+
 def max_cursor(rows: DataFrame, source: str, cursor: str) -> DataFrame:
     """Per source the largest cursor, compared as text."""
     return rows.groupBy(source).agg(F.max(F.col(cursor).cast("string")).alias("cursor"))

@@ -12,6 +12,7 @@ from talus.operators import chunking, evaluation, governance, indexing, quality,
 from talus.plans import kpi, marts
 from talus.sources import proxies
 from talus.sources.lakehouse import VersionedTable
+from talus.session import stage_root
 from talus.sources.tables import table
 from talus.streaming import jobs
 
@@ -146,7 +147,7 @@ def kpi_denials(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_TICKETS + """select 'not_null_metric_date' as test_name, count_if(metric_date is null)::bigint as violations from mart
   union all select 'not_null_metric_name', count_if(metric_name is null) from mart union all select 'not_null_metric_value', count_if(metric_value is null) from mart
-  union all select 'accepted_values_metric_name', 0 union all select 'metric_values_non_negative', count_if(metric_value < 0) from mart
+  union all select 'accepted_values_metric_name', count_if(metric_name not in ('ticket_count','open_ticket_count','p1_ticket_count','sla_breach_count','escalation_count','avg_backlog_age_days','avg_first_response_minutes','avg_handle_time_minutes','escalation_rate','sla_breach_rate','first_resolution_rate')) from mart union all select 'metric_values_non_negative', count_if(metric_value < 0) from mart
   union all select 'ratio_metrics_between_0_and_1', count_if(metric_name like '%_rate' and (metric_value < 0 or metric_value > 1)) from mart""")
 def dbt_tests_report(spark: SparkSession, d: str) -> DataFrame:
     return marts.dbt_tests_report(_mart(spark, d))
@@ -174,12 +175,19 @@ def bronze_distinct_on(spark: SparkSession, d: str) -> DataFrame:
     return upserts.latest_by(_raw_events(spark, d), ["source_id", "fingerprint"], ["ingest_ts", "event_id"], ["event_id"])
 
 
-@query(_EVENTS + """, m as (select median(epoch_us(ingest_ts)) t from e), a as (select distinct source_id, fingerprint from e, m where epoch_us(ingest_ts) <= t)
-  select source_id, fingerprint, min(event_id) as event_id from e, m where epoch_us(ingest_ts) > t and not exists (select 1 from a where a.source_id = e.source_id and a.fingerprint = e.fingerprint) group by 1, 2""")
+_CUT = "2024-01-15"
+
+
+def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The events before a stated day as what is there, the others as a batch."""
+    e, cut = _raw_events(spark, d), F.lit(_CUT).cast("timestamp")
+    return e.where(F.col("ingest_ts") < cut), e.where(F.col("ingest_ts") >= cut)
+
+
+@query(_EVENTS + f""", a as (select distinct source_id, fingerprint from e where ingest_ts < timestamp '{_CUT}')
+  select source_id, fingerprint, min(event_id) as event_id from e where ingest_ts >= timestamp '{_CUT}' and not exists (select 1 from a where a.source_id = e.source_id and a.fingerprint = e.fingerprint) group by 1, 2""")
 def ingest_append_if_absent(spark: SparkSession, d: str) -> DataFrame:
-    e = _raw_events(spark, d)
-    half = e.agg(F.median(F.unix_micros("ingest_ts")).alias("t"))
-    old, new = (e.join(F.broadcast(half), cond(F.unix_micros("ingest_ts"), F.col("t"))).drop("t") for cond in (lambda a, b: a <= b, lambda a, b: a > b))
+    old, new = _halves(spark, d)
     return upserts.append_if_absent(old, new, ["source_id", "fingerprint"], ["event_id"]).select("source_id", "fingerprint", "event_id")
 
 
@@ -215,10 +223,10 @@ def daily_partition_counts(spark: SparkSession, d: str) -> DataFrame:
     return governance.daily_counts(table(spark, d, "events"), "ts").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n_rows")
 
 
-@query("""with c as (select distinct created_at::date as d from tickets where created_at is not null)
+@query("""with c as (select distinct ingest_ts::date as d from raw_doc_asset where ingest_ts is not null)
   select strftime(g, '%Y-%m-%d') as day from (select unnest(generate_series((select min(d) from c)::timestamp, (select max(d) from c)::timestamp, interval 1 day)) g) where g::date not in (select d from c)""")
 def backfill_gap(spark: SparkSession, d: str) -> DataFrame:
-    return governance.backfill_gaps(table(spark, d, "tickets"), "created_at").select(F.date_format("day", "yyyy-MM-dd").alias("day"))
+    return governance.backfill_gaps(table(spark, d, "raw_doc_asset"), "ingest_ts").select(F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
 # --- data quality -----------------------------------------------------------------------------------------------------------------------
@@ -282,24 +290,6 @@ def pii_scan(spark: SparkSession, d: str) -> DataFrame:
     return one("tickets", "description").unionByName(one("documents", "text"))
 
 
-@query(r"""with a as (select distinct chunk_id from evidence_anchor), c as (select distinct chunk_id from document_chunk), s as (select distinct section_id from parsed_section),
-  f as (select count(*)::bigint n_chunks, count_if(trim(coalesce(content, '')) = '')::bigint empty_chunks, count_if(regexp_matches(content, '(?i)([A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,})|(\b\d{3}[-.]?\d{2}[-.]?\d{4}\b)'))::bigint pii_chunks,
-    count_if(trim(coalesce(doc_version, '')) = '' or trim(coalesce(doc_id, '')) = '' or trim(coalesce(source_id, '')) = '')::bigint metadata_incomplete, count_if(parser_backend = 'fallback')::bigint fallback_chunks from document_chunk)
-  select f.*, (select count(*) from c where chunk_id not in (select chunk_id from a where chunk_id is not null))::bigint as missing_anchor,
-    (select count(*) from document_chunk where section_id is not null and section_id not in (select section_id from s))::bigint as orphan_chunks,
-    (select count(*) from evidence_anchor where chunk_id is not null and chunk_id not in (select chunk_id from c))::bigint as orphan_anchors, round(greatest(0.0, 1 - (empty_chunks + fallback_chunks)::double / greatest(n_chunks, 1)), 6) as noise_score,
-    'fail' as status from f""")
-def chunk_quality_gate(spark: SparkSession, d: str) -> DataFrame:
-    return quality.chunk_quality_gate(table(spark, d, "document_chunk"), table(spark, d, "evidence_anchor"), table(spark, d, "parsed_section"))
-
-
-@query(r"""select chunk_id, (anchor_count > 0 and trim(coalesce(content, '')) <> '' and not coalesce(regexp_matches(content, '(?i)([A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,})|(\b\d{3}[-.]?\d{2}[-.]?\d{4}\b)'), false)) as indexable from
-  (select chunk_id, anchor_count, content, row_number() over (partition by chunk_id order by ingest_ts desc) n from document_chunk) where n = 1""")
-def chunk_indexable(spark: SparkSession, d: str) -> DataFrame:
-    c = upserts.latest_by(table(spark, d, "document_chunk"), ["chunk_id"], ["ingest_ts"], ["anchor_count", "content"])
-    return c.select("chunk_id", ((F.col("anchor_count") > 0) & ~quality.blank("content") & ~quality.pii_suspected("content")).alias("indexable"))
-
-
 # --- sections, chunks, anchors -------------------------------------------------------------------------------------------------------------
 
 
@@ -334,9 +324,13 @@ def chunk_count_per_doc(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "knowledge_doc").select("doc_id").distinct().join(n, "doc_id", "left").select("doc_id", F.coalesce("c", F.lit(0)).cast("long").alias("chunk_count"))
 
 
-@query()
+@query("""with s as (select s_suppkey k, '# ' || s_name || chr(10) || 'def f' || s_suppkey || '(x):' || chr(10) || '    return x' || chr(10) || 'class C' || s_suppkey || ':' || chr(10) || '    name = 1' || chr(10) t from supplier)
+  select k as s_suppkey, 'f' || k as symbol, (position('def ' in t) - 1)::bigint as span_start, (position('class ' in t) - 1)::bigint as span_end from s union all select k, 'C' || k, position('class ' in t) - 1, length(t) from s""")
 def code_symbols(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.code_symbols(table(spark, d, "documents"), "doc_id", "text")
+    """A small source file made up of every supplier, as no table holds code."""
+    key = F.col("s_suppkey").cast("string")
+    text = F.concat(F.lit("# "), "s_name", F.lit("\ndef f"), key, F.lit("(x):\n    return x\nclass C"), key, F.lit(":\n    name = 1\n"))
+    return chunking.code_symbols(table(spark, d, "supplier").select("s_suppkey", text.alias("text")), "s_suppkey", "text")
 
 
 @query(r"""with b as (select doc_id, generate_subscripts(x, 1) - 1 i, unnest(x) raw from (select doc_id, string_split_regex(text, '\n\s*\n+') x from documents)), c as (select doc_id, i, trim(raw, ' ') content from b)
@@ -348,18 +342,9 @@ def markdown_blocks(spark: SparkSession, d: str) -> DataFrame:
 # --- retrieval ----------------------------------------------------------------------------------------------------------------------------
 
 
-@query("""with v as (select vec_id, embedding::double[] e from embeddings), q as (select * from v where vec_id < 20)
-  select query_id, vec_id, score, rank from (select q.vec_id query_id, v.vec_id vec_id, round(list_cosine_similarity(q.e, v.e), 6) score, row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.e, v.e), 6) desc, v.vec_id)::int rank from q join v on q.vec_id <> v.vec_id) where rank <= 10""")
-def vector_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Twenty stated query vectors against all vectors."""
-    v = table(spark, d, "embeddings").select("vec_id", "embedding")
-    q = v.where("vec_id < 20").withColumnRenamed("vec_id", "query_id")
-    return retrieval.vector_top_k(q, v, "query_id", "vec_id", "embedding", 10)
-
-
 @query("""with v as (select vec_id, embedding::double[] e from embeddings), q as (select * from v where vec_id % 20 = 0)
   select query_id, vec_id, score, rank from (select q.vec_id query_id, v.vec_id vec_id, round(list_cosine_similarity(q.e, v.e), 6) score, row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.e, v.e), 6) desc, v.vec_id)::int rank from q join v on q.vec_id <> v.vec_id) where rank <= 10""")
-def vector_search(spark: SparkSession, d: str) -> DataFrame:
+def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     """The whole search set, every vector whose id is divisible by 20, against all vectors."""
     v = table(spark, d, "embeddings").select("vec_id", "embedding")
     q = v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
@@ -383,19 +368,6 @@ def lexical_topk(spark: SparkSession, d: str) -> DataFrame:
     return _lexical(spark, d)
 
 
-_SOURCE_LEG = """, src as (select g.case_id query_id, k.doc_id, k.n_chars::double score from rag_golden g join documents k on k.source = g.source_doc),
-b as (select * from (select *, row_number() over (partition by query_id order by score desc, doc_id)::int rank from src) where rank <= 10) """
-
-
-@query(_LEXICAL + _SOURCE_LEG + """select query_id, doc_id, round(sum(1.0::double / (60 + rank)), 9) as rrf_score, max(lexical) as lexical_score, max(source) as source_score from
-  (select query_id, doc_id, rank, score lexical, null source from leg union all select query_id, doc_id, rank, null, score from b) group by 1, 2""")
-def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
-    """The lexical leg fused with the documents of the item's source, longest first."""
-    g, k = table(spark, d, "rag_golden"), table(spark, d, "documents")
-    src = g.join(k, g.source_doc == k.source).select(F.col("case_id").alias("query_id"), "doc_id", F.col("n_chars").cast("double").alias("score"))
-    return retrieval.reciprocal_rank_fusion([("lexical", _lexical(spark, d)), ("source", retrieval.top_k(src, "query_id", "score", "doc_id", 10))], "query_id", "doc_id")
-
-
 @query()
 def context_prune(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "rag_predictions").groupBy("trace_id").agg(F.max_by("retrieved_contexts", "created_at").alias("c")).select("trace_id", F.posexplode("c").alias("rank", "h")).select("trace_id", (F.col("rank") + 1).alias("rank"), F.col("h.chunk_id").alias("chunk_id"))
@@ -411,40 +383,16 @@ def query_rewrite_route(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.query_plans(table(spark, d, "rag_golden"), "case_id", "query")
 
 
-@query()
-def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, "rag_golden").select("case_id", X.hash_embedding("query", 16).alias("v"))
-    return g.select("case_id", F.posexplode("v").alias("i", "x")).select("case_id", "i", F.round("x", 9).alias("x"))
-
-
 # --- evaluation and governance ------------------------------------------------------------------------------------------------------------
 
 
-def _scores(spark: SparkSession, d: str) -> DataFrame:
-    text = upserts.latest_by(table(spark, d, "document_chunk"), ["chunk_id"], ["ingest_ts"], ["content"])
-    return evaluation.eval_scores(table(spark, d, "rag_golden"), table(spark, d, "rag_predictions"), text)
-
-
-@query()
-def eval_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _scores(spark, d)
-
-
-@query()
-def eval_gate(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.run_gate(_scores(spark, d))
-
-
-@query()
-def eval_category(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.category_breakdown(_scores(spark, d), ["happy", "boundary", "adversarial", "multi_hop"])
-
-
 @query("""with p as (select case_id, arg_max({'a': answer, 'r': abstain_reason}, {'c': created_at, 't': trace_id}) x from rag_predictions group by 1),
   j as (select g.case_id, lower(coalesce(p.x.a, '')) a, expected_keywords k from rag_golden g left join p using (case_id))
   select case_id, round(case when len(k) > 0 then len(list_filter(k, lambda w: contains(a, lower(w))))::double / len(k) else 1 end, 6) as answer_relevance from j""")
 def eval_keyword_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return _scores(spark, d).select("case_id", "answer_relevance")
+    p = table(spark, d, "rag_predictions").groupBy("case_id").agg(F.max_by("answer", F.struct("created_at", "trace_id")).alias("answer"))
+    j = table(spark, d, "rag_golden").join(p, "case_id", "left")
+    return j.select("case_id", X.keyword_coverage("answer", "expected_keywords").alias("answer_relevance"))
 
 
 @query("""with p as (select row_number() over (order by trace_id, created_at) i, confidence h, round(confidence * 0.8 + 0.1, 6) j from (select distinct trace_id, created_at, confidence from rag_predictions) where confidence is not null),
@@ -496,18 +444,17 @@ def hitl_actions(spark: SparkSession, d: str) -> DataFrame:
     return governance.hitl_actions(t, _RULES).select("ticket_id", "hitl_action", "hitl_matches")
 
 
-@query(_EVENTS + """, m as (select median(epoch_us(ingest_ts)) t from e), s as (select source_id, fingerprint, min(event_id) d from e, m where epoch_us(ingest_ts) <= t group by 1, 2), n as (select source_id, fingerprint, event_id from e, m where epoch_us(ingest_ts) > t)
+@query(_EVENTS + f""", s as (select source_id, fingerprint, min(event_id) d from e where ingest_ts < timestamp '{_CUT}' group by 1, 2), n as (select source_id, fingerprint, event_id from e where ingest_ts >= timestamp '{_CUT}')
   select case when s.d is null then 'execute' when s.d = n.event_id then 'replay' else 'conflict' end as outcome, count(*)::bigint as n_requests from n left join s using (source_id, fingerprint) group by 1""")
 def idempotent_replay(spark: SparkSession, d: str) -> DataFrame:
-    e = _raw_events(spark, d)
-    half = e.agg(F.median(F.unix_micros("ingest_ts")).alias("t"))
-    old, new = (e.join(F.broadcast(half), cond(F.unix_micros("ingest_ts"), F.col("t"))).drop("t") for cond in (lambda a, b: a <= b, lambda a, b: a > b))
+    old, new = _halves(spark, d)
     return governance.idempotent_outcome(new, old, ["source_id", "fingerprint"], "event_id").groupBy("outcome").agg(F.count(F.lit(1)).alias("n_requests"))
 
 
-@query("select count(*)::bigint as total_chunks, count_if(index_release_id = 'idx-test' and embedding is not null)::bigint as embedded_chunks, 0::bigint as errors, 'warn' as quality_gate from knowledge_section")
+@query("""with r as (select count(*)::bigint total_chunks, count_if(index_release_id = 'idx-2026.06' and embedding is not null)::bigint embedded_chunks, count_if(index_release_id = 'idx-2026.06' and embedding is not null and len(embedding) <> 64)::bigint errors from knowledge_section)
+  select *, case when errors > 0 then 'fail' when total_chunks = 0 or embedded_chunks < total_chunks then 'warn' else 'pass' end as quality_gate from r""")
 def index_report(spark: SparkSession, d: str) -> DataFrame:
-    return indexing.index_report(table(spark, d, "knowledge_section"), "idx-test", 64)
+    return indexing.index_report(table(spark, d, "knowledge_section"), "idx-2026.06", 64)
 
 
 @query("select section_id, (embedding is null or index_release_id <> 'idx-2026.08') as pending from knowledge_section where embedding is null or index_release_id <> 'idx-2026.08'")
@@ -539,26 +486,22 @@ def metric_drift(spark: SparkSession, d: str) -> DataFrame:
 # --- versioned tables and streams ---------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query("select 0 as version, 'overwrite' as operation, count(*)::bigint as n_rows from tickets union all select 1, 'deduplicate', count(distinct ticket_id) from tickets")
 def time_travel_counts(spark: SparkSession, d: str) -> DataFrame:
     import uuid
 
-    from talus.session import shared_dir
-
-    t = VersionedTable(spark, f"{shared_dir(spark).rstrip('/')}/talus-lake-{uuid.uuid4().hex[:8]}/tickets")
+    t = VersionedTable(spark, f"{stage_root(spark)}/lake-{uuid.uuid4().hex[:8]}/tickets")
     rows = table(spark, d, "tickets").select("ticket_id", "status", "ingest_ts")
     t.overwrite(rows)
     t.overwrite(upserts.latest_by(rows, ["ticket_id"], ["ingest_ts", "status"], ["status", "ingest_ts"]), "deduplicate")
     return t.snapshots().select("version", "operation", "n_rows")
 
 
-@query()
+@query("select count(*)::bigint as n_rows, 1 as n_snapshots from evidence_anchor")
 def table_health(spark: SparkSession, d: str) -> DataFrame:
     import uuid
 
-    from talus.session import shared_dir
-
-    t = VersionedTable(spark, f"{shared_dir(spark).rstrip('/')}/talus-lake-{uuid.uuid4().hex[:8]}/anchors")
+    t = VersionedTable(spark, f"{stage_root(spark)}/lake-{uuid.uuid4().hex[:8]}/anchors")
     t.overwrite(table(spark, d, "evidence_anchor"))
     return t.health().select("n_rows", "n_snapshots")
 

@@ -68,9 +68,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False
     return parsed.where("r is not null and r._corrupt is null").select("r.*").drop("_corrupt"), parsed.where("r is null or r._corrupt is not null").select(F.col("value").alias("line"))
 
 
-def read_manifests(spark: SparkSession, directory: str) -> DataFrame:
+def read_manifests(spark: SparkSession, directory: str, suffix: str = "json") -> DataFrame:
     """One row per asset of all manifests of a directory, schema files left out; manifest fields repeat on each asset."""
-    m = spark.read.option("multiLine", True).json(f"{directory}/*.json").withColumn("_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    m = spark.read.option("multiLine", True).json(f"{directory}/*.{suffix}").withColumn("_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
     m = m.where(~F.col("_file").startswith("source_manifest"))
     return m.withColumn("asset", F.explode("assets")).drop("assets")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.session import shared_dir
+from talus.session import stage_root
 
 
 def stream_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -23,11 +23,11 @@ def _is_file(spark: SparkSession, path: str) -> bool:
 
 
 def run_once(df: DataFrame, name: str, mode: str) -> DataFrame:
-    """Run a stream over what is there now and return its result table, written to the shared folder."""
+    """Run a stream over what is there now and return its result table, written below the stage tables."""
     import uuid
 
     spark = df.sparkSession
-    at = f"{shared_dir(spark).rstrip('/')}/talus-stream-{name}-{uuid.uuid4().hex[:8]}"
+    at = f"{stage_root(spark)}/stream-{name}-{uuid.uuid4().hex[:8]}"
     schema = df.schema
     if mode == "append":
         df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start(f"{at}/out").awaitTermination()

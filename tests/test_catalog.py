@@ -51,7 +51,7 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_vector_search_has_all_queries(spark):
-    rows = QUERIES["vector_search"](spark, DATA).groupBy("query_id").count().collect()
+def test_vector_topk_has_all_queries(spark):
+    rows = QUERIES["vector_topk"](spark, DATA).groupBy("query_id").count().collect()
     asked = spark.read.parquet(f"{DATA}/embeddings.parquet").where("vec_id % 20 = 0").count()
     assert len(rows) == asked > 20 and {r["count"] for r in rows} == {10}

@@ -177,14 +177,51 @@ def test_jsonl(spark, tmp_path):
 
 
 def test_eval_scores(spark):
-    samples = spark.createDataFrame([("c1", "happy", "restart the node", ["restart"], False), ("c2", "adversarial", "x", [], True), ("c3", "happy", "y", None, False)], "case_id string, category string, expected_answer string, expected_keywords array<string>, should_abstain boolean")
-    preds = spark.createDataFrame([("c1", "t1", "Restart the node", None, dt.datetime(2026, 1, 1), [("e", "k")])], "case_id string, trace_id string, answer string, abstain_reason string, created_at timestamp, citations array<struct<evidence_id:string,chunk_id:string>>")
-    ctx = spark.createDataFrame([("k", "please restart the node now")], "chunk_id string, content string")
-    got = {r.case_id: r for r in evaluation.eval_scores(samples, preds, ctx).collect()}
-    assert got["c1"].faithfulness == 1.0 and got["c1"].answer_correctness == 1.0 and got["c1"].passed
+    samples = spark.createDataFrame(
+        [("c1", "happy", "restart the node", ["restart"], ["src-1"], ["magic"], False), ("c2", "adversarial", "x", [], [], None, True), ("c3", "happy", "y", None, ["s"], None, False), ("c4", "adversarial", "x", [], [], None, True), ("c5", "happy", "a b", [], ["q"], ["Magic"], False)],
+        "case_id string, category string, expected_answer string, expected_keywords array<string>, expected_ids array<string>, forbidden_phrases array<string>, should_abstain boolean",
+    )
+    at = dt.datetime(2026, 1, 1)
+    preds = spark.createDataFrame(
+        [("c1", "t1", "Restart the node", None, at, [("e", "k", None)], [("k",), ("z",), ("m",)]), ("c4", "t4", "Here it is", None, at, None, None), ("c5", "t5", "a b magic", None, at, [], [])],
+        "case_id string, trace_id string, answer string, abstain_reason string, created_at timestamp, citations array<struct<evidence_id:string,chunk_id:string,doc_id:string>>, retrieved_contexts array<struct<chunk_id:string>>",
+    )
+    ctx = spark.createDataFrame([("k", "src-1-part", "please restart the node now"), ("m", "other", "nothing")], "chunk_id string, evidence_id string, content string")
+    scores = evaluation.eval_scores(samples, preds, ctx)
+    got = {r.case_id: r for r in scores.collect()}
+    assert got["c1"].faithfulness == 1.0 and got["c1"].answer_correctness == 1.0 and got["c1"].context_precision == 0.5 and got["c1"].context_recall == 1.0
+    assert got["c1"].failure_reasons == ["context_precision_below_threshold:0.500<0.550"] and not got["c1"].passed
     assert got["c2"].passed and got["c2"].faithfulness == 0.5 and not got["c3"].passed
-    cats = {r.category: r.cases for r in evaluation.category_breakdown(evaluation.eval_scores(samples, preds, ctx), ["happy", "boundary"]).collect()}
-    assert cats == {"happy": 2, "boundary": 0}
+    assert got["c4"].failure_reasons == ["safety_or_compliance_failed", "expected_abstain"] and not got["c5"].safety_pass and got["c5"].context_precision == 0.0
+    cats = {r.category: r.cases for r in evaluation.category_breakdown(scores, ["happy", "boundary"]).collect()}
+    assert cats == {"happy": 3, "boundary": 0}
+    m = evaluation.metric_means(scores).first()
+    assert (m.pass_rate, m.adversarial_pass_rate, m.safety_pass_rate) == (0.2, 0.5, 0.6)
+
+
+def test_cover_density():
+    assert retrieval.cover_density([[0], [1]]) == pytest.approx(0.1) and retrieval.cover_density([[0], [3]]) == pytest.approx(0.1 / 3)
+    assert retrieval.cover_density([[0, 10], [1, 12]]) == pytest.approx(0.1 + 0.1 / 9 + 0.1 / 2) and retrieval.cover_density([[1], []]) == 0.0
+
+
+def test_ranges_and_filters(spark):
+    df = spark.createDataFrame([("a", float(i % 50)) for i in range(500)] + [("b", 1.0)], "g string, v double")
+    got = {(r.g, r.percentile): r.value for r in evaluation.percentile_nearest(df, "g", "v", [0, 50, 100]).collect()}
+    assert got == {("a", 0.0): 0.0, ("a", 50.0): 25.0, ("a", 100.0): 49.0, ("b", 0.0): 1.0, ("b", 50.0): 1.0, ("b", 100.0): 1.0}
+    s = spark.createDataFrame([("s1", "d1", None), ("s2", "d2", "r2"), ("s3", "gone", "r2")], "section_id string, doc_id string, release string")
+    docs = spark.createDataFrame([("d1", "r1", "edge"), ("d2", "r9", "studio")], "doc_id string, release string, line string")
+    ids = lambda **f: {r.section_id for r in retrieval.searchable_sections(s, docs, f).collect()}
+    assert ids() == {"s1", "s2"} and ids(release="r1") == {"s1"} and ids(release=["r1", "r2"], line="any") == {"s1", "s2"} and ids(line="studio", release="r9") == set()
+
+
+def test_loads_and_policies(spark):
+    df = spark.createDataFrame([(1, "low", "x"), (2, None, "y"), (3, "odd", None)], "n int, level string, who string")
+    assert upserts.load(df, "incremental_cursor", "n", cursor="1").count() == 2 and upserts.load(df, "backfill", "n", start="1", end="3").count() == 2 and upserts.load(df, "replay", "n").count() == 3
+    with pytest.raises(ValueError):
+        upserts.load(df, "other", "n")
+    rules = spark.createDataFrame([("low", "hash"), ("high", "drop")], "level string, rule string")
+    got = {r.n: r.who for r in governance.apply_policy(df, "level", rules, {"who": "rule"}, "high").collect()}
+    assert got[1] and len(got[1]) == 16 and got[2] is None and got[3] is None
 
 
 def test_vector_blocks_against_brute_force(spark):
