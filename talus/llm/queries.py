@@ -90,6 +90,17 @@ s as (select distinct chunk_id, unnest(list_transform(range(1, len(w) - 1), lamb
 n as (select chunk_id, count(*) n from s group by 1),
 p as (select a.chunk_id x, b.chunk_id y, count(*) i from s a join s b on a.g = b.g and a.chunk_id < b.chunk_id group by 1, 2)
 select x as chunk_id_a, y as chunk_id_b from p join n nx on nx.chunk_id = x join n ny on ny.chunk_id = y where i >= 0.6 * (nx.n + ny.n - i)""",
+    "p1_groups": """
+with recursive c as (select chunk_id, regexp_extract_all(lower(arg_max(content, ingest_ts)), '[a-z0-9]+') w from document_chunk where content is not null group by 1),
+k as (select chunk_id, w, min(chunk_id) over (partition by w) class_id from c where len(w) >= 30),
+s as (select distinct chunk_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) g from k where chunk_id = class_id),
+n as (select chunk_id, count(*) n from s group by 1),
+p as (select a.chunk_id x, b.chunk_id y, count(*) i from s a join s b on a.g = b.g and a.chunk_id < b.chunk_id group by 1, 2),
+l as (select x, y from p join n nx on nx.chunk_id = x join n ny on ny.chunk_id = y where i >= 0.6 * (nx.n + ny.n - i)),
+e as (select x a, y b from l union all select y, x from l), m as (select a, count(*)::bigint n_links from e group by 1),
+r(node, root) as (select distinct class_id, class_id from k union select e.b, r.root from r join e on e.a = r.node),
+g as (select node, min(root) group_id from r group by 1)
+select chunk_id, class_id, coalesce(n_links, 0) as n_links, group_id from k join g on g.node = class_id left join m on m.a = class_id""",
     "p4_found": "select distinct chunk_id from document_chunk where length(content) > 1200",
     "p7_found": """
 with v as (select section_id, arg_max(embedding, created_at)::double[] e from knowledge_section

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +21,8 @@ from talus.session import ship_package
 _GAP = re.compile(r"\n\s*\n\s*|(?<=[.!?])[\"')\]]*\s+|(?<=[。！？])|\n")
 _WORD = re.compile(r"\w+")
 _HEADING = re.compile(r"^(#{1,6})\s+(\S.*?)\s*#*$", re.M)
-#: Hashed dimensions of a block's word counts, and sentences in a block.
-DIMENSIONS, BLOCK = 256, 3
-#: Sentences whose similarities are computed at once.
-STRIDE = 4096
+#: Sentences in a block, and sentences whose similarities are computed at once.
+BLOCK, STRIDE = 3, 1024
 
 
 def gaps(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -49,10 +46,11 @@ def valley_depths(text: str, ends: np.ndarray) -> np.ndarray:
     for lo in range(0, n, STRIDE):
         hi = min(n, lo + STRIDE)
         first, last = max(0, lo + 1 - BLOCK), min(n + 1, hi + BLOCK)
-        bags = np.zeros((last - first + 1, DIMENSIONS), np.float32)
-        for i in range(first, last):
-            at = [zlib.crc32(w.encode("utf-8", "replace")) % DIMENSIONS for w in _WORD.findall(text[bounds[i] : bounds[i + 1]].lower()) if len(w) > 3 or not w.isascii()]
-            bags[i - first + 1] = np.bincount(at, minlength=DIMENSIONS)
+        number: dict[str, int] = {}
+        words = [[number.setdefault(w, len(number)) for w in _WORD.findall(text[bounds[i] : bounds[i + 1]].lower()) if len(w) > 3 or not w.isascii()] for i in range(first, last)]
+        bags = np.zeros((last - first + 1, max(1, len(number))), np.float32)
+        for i, at in enumerate(words):
+            bags[i + 1] = np.bincount(at, minlength=bags.shape[1]) if at else 0
         total = np.cumsum(bags, axis=0)
         g = np.arange(lo, hi) + 1 - first
         left = total[g] - total[np.maximum(g - BLOCK, 0)]
@@ -122,12 +120,12 @@ def split_oversized(rows: DataFrame, id_col: str = "chunk_id", text_col: str = "
             for key, t, span, heading in zip(b.id, b.text, b.span, b.heading, strict=True):
                 path = None if heading is None else [None if h is None else str(h) for h in heading]
                 inside = [(m.start(), len(m[1]), m[2]) for m in _HEADING.finditer(t)]
-                ps = pieces(t, limit, overlap)
+                ps, open_, passed = pieces(t, limit, overlap), [], 0
                 for k, (s, e, kind) in enumerate(ps):
-                    open_: list[tuple[int, str]] = []
-                    for at, level, name in inside:
-                        if at <= s:
-                            open_ = [x for x in open_ if x[0] < level] + [(level, name)]
+                    while passed < len(inside) and inside[passed][0] <= s:  # pieces and headings both go forward
+                        _, level, name = inside[passed]
+                        open_ = [x for x in open_ if x[0] < level] + [(level, name)]
+                        passed += 1
                     here = path if not open_ else [*(path or []), *(n for _, n in open_)]
                     base = None if pd.isna(span) else int(span)
                     rows.append((key, k, len(ps), None if base is None else base + s, None if base is None else base + e, here, kind, t[s:e]))
