@@ -20,6 +20,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talus.session import stage_table
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -56,11 +58,15 @@ def find_orphans(refs: DataFrame, record_id: str, created_at: str, src_table: st
         *[normal_key(c).alias(f"k{i}") for i, c in enumerate(rule.ref_columns)],
     )
     r = r.groupBy("record_id", *[f"k{i}" for i in range(n)]).agg(F.min("created_at").alias("created_at"))
+    if n > 1:
+        r = stage_table(r, "references")  # read by one join per mask
     mask = reduce(lambda a, b: a + b, (F.when(F.col(f"k{i}").isNotNull(), 1 << i).otherwise(0) for i in range(n)))
     t = target.select(*[normal_key(c).alias(f"k{i}") for i, c in enumerate(rule.key_columns)], F.col(target_created_at).cast("timestamp").alias("t_created_at"))
     full = (1 << n) - 1
+    # only the masks that occur are joined
+    masks = sorted(x.m for x in r.select(mask.alias("m")).distinct().collect() if x.m) if n > 1 else [full]
     parts = []
-    for m in range(1, full + 1):
+    for m in masks:
         if m != full and rule.match == "simple":
             continue  # a reference with a null holds
         rows = r.where(mask == m) if n > 1 else r.where(F.col("k0").isNotNull())

@@ -19,6 +19,36 @@ def errors(rules: Mapping[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(broken, name) for name, broken in rules.items()]))
 
 
+def schema_rules(schema: Mapping) -> dict[str, Column]:
+    """A JSON Schema of flat records as rules ``field:keyword``: required, enum, pattern, minLength, maxLength, minimum, maximum, minItems and maxItems.
+
+    Required fields come first, then the properties in their order. A null breaks ``required`` only. Unknown keywords raise, so that no rule is silently left out.
+    """
+    size = {
+        "minLength": lambda c, x: F.char_length(c) < x, "maxLength": lambda c, x: F.char_length(c) > x, "minimum": lambda c, x: c < x, "maximum": lambda c, x: c > x,
+        "minItems": lambda c, x: F.size(c) < x, "maxItems": lambda c, x: F.size(c) > x, "pattern": lambda c, x: ~c.rlike(x), "enum": lambda c, x: ~c.isin(*x),
+    }
+    rules = {f"{f}:required": F.col(f).isNull() for f in schema.get("required", ())}
+    for f, keywords in schema.get("properties", {}).items():
+        for k, x in keywords.items():
+            if k not in size and k not in ("type", "description", "title"):
+                raise ValueError(f"unknown keyword {k} of {f}")
+            if k in size:
+                rules[f"{f}:{k}"] = F.col(f).isNotNull() & size[k](F.col(f), x)
+    return rules
+
+
+def registry_errors(mart: DataFrame, metric: str, metrics: Sequence[str], dimensions: Sequence[str]) -> DataFrame:
+    """(rule, detail): metrics of a registry that the mart lacks, metrics of the mart that the registry lacks, dimensions that are no column of it."""
+    spark = mart.sparkSession
+    named = spark.createDataFrame([(m,) for m in metrics], f"{metric} string")
+    there = mart.select(metric).dropna().distinct()
+    gone = named.join(there, metric, "left_anti").select(F.lit("metric_not_in_mart").alias("rule"), F.col(metric).alias("detail"))
+    extra = there.join(named, metric, "left_anti").select(F.lit("metric_not_registered").alias("rule"), F.col(metric).alias("detail"))
+    dims = spark.createDataFrame([("dimension_not_in_view", x) for x in dimensions if x not in mart.columns], "rule string, detail string")
+    return gone.unionByName(extra).unionByName(dims)
+
+
 def one_of(c: str, allowed: Sequence[str]) -> Column:
     return F.col(c).isNotNull() & ~F.col(c).isin(*allowed)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from talus.functions import text as X
 from talus.operators import chunking, evaluation, governance, indexing, quality, retrieval, upserts
+from talus.plans import factory, kpi
 from talus.sources import assets, lakehouse
 from talus.sources.tables import table
 
@@ -30,7 +31,7 @@ def query(oracle: str | None = None) -> Callable:
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
-    """Cases cite sources: a chunk's evidence is its source, and the source a golden item names is what it expects."""
+    """Cases cite sources: a chunk's evidence is its source, and the source a golden item names is what it expects. The forbidden phrases are stated here; no table has any."""
     c = upserts.latest_by(table(spark, d, "document_chunk"), ["chunk_id"], ["ingest_ts"], ["source_id", "content"]).withColumnRenamed("source_id", "evidence_id")
     g = table(spark, d, "rag_golden").select("case_id", "category", "expected_answer", "expected_keywords", F.array_compact(F.array("source_doc")).alias("expected_ids"), F.array(F.lit("known workaround"), F.lit("guaranteed")).alias("forbidden_phrases"), "should_abstain")
     return evaluation.eval_scores(g, table(spark, d, "rag_predictions"), c)
@@ -358,3 +359,55 @@ def load_modes(spark: SparkSession, d: str) -> DataFrame:
     asked = {"full_snapshot": {}, "incremental_cursor": {"cursor": "2026-01-01"}, "backfill": {"start": "2025-06-01", "end": "2025-07-01"}}
     parts = [upserts.load(a, mode, "ingest_ts", **kw).agg(F.lit(mode).alias("mode"), F.count(F.lit(1)).alias("n")) for mode, kw in asked.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).where("n > 0")
+
+
+# --- runs, contracts and governed responses -----------------------------------------------------------------------------------------------------
+
+
+@query()
+def factory_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """The whole dataflow over the tables and the evidence of its checks. SQL could only repeat the statuses, so tests break inputs instead."""
+    return factory.run_evidence(spark, {n: table(spark, d, n) for n in factory.INPUTS})[1]
+
+
+_TICKET_SCHEMA = {
+    "required": ["ticket_id", "customer_id", "created_at", "subject"],
+    "properties": {
+        "ticket_id": {"type": "string", "pattern": "^TKT-[0-9]{8}-[0-9]+$"}, "status": {"enum": ["open", "pending", "in_progress", "resolved", "closed", "escalated"]}, "subject": {"type": "string", "minLength": 10},
+        "sla_tier": {"enum": ["enterprise", "professional", "standard", "free"]}, "error_codes": {"type": "array", "maxItems": 2},
+    },
+}
+
+
+@query("""select ticket_id, strftime(ingest_ts, '%Y-%m-%d %H:%M:%S') as ingest_ts, array_to_string(list_filter([case when ticket_id is null then 'ticket_id:required' end, case when customer_id is null then 'customer_id:required' end, case when created_at is null then 'created_at:required' end, case when subject is null then 'subject:required' end,
+    case when not regexp_matches(ticket_id, '^TKT-[0-9]{8}-[0-9]+$') then 'ticket_id:pattern' end, case when status not in ('open', 'pending', 'in_progress', 'resolved', 'closed', 'escalated') then 'status:enum' end, case when length(subject) < 10 then 'subject:minLength' end,
+    case when sla_tier not in ('enterprise', 'professional', 'standard', 'free') then 'sla_tier:enum' end, case when len(error_codes) > 2 then 'error_codes:maxItems' end], lambda z: z is not null), ',') as reasons from tickets""")
+def ticket_schema_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Rules compiled from a JSON Schema, all in one pass."""
+    rules = quality.schema_rules(_TICKET_SCHEMA)
+    return table(spark, d, "tickets").select("ticket_id", F.date_format("ingest_ts", "yyyy-MM-dd HH:mm:ss").alias("ingest_ts"), F.array_join(quality.errors(rules), ",").alias("reasons"))
+
+
+@query("""with m as (select manifest_id, list({'s': source_id}) a, count(*) n, count(distinct source_id) u, min(asset_type) lo, max(asset_type) hi from raw_doc_asset group by 1)
+  select manifest_id, array_to_string(list_filter([case when not (lo in ('pdf', 'html', 'faq')) then 'unknown_modality' end, case when n <> u then 'repeated_source_id' end], lambda z: z is not null), ',') as reasons from m""")
+def manifest_rule_errors(spark: SparkSession, d: str) -> DataFrame:
+    """The assets' manifests against the manifest rules; a manifest's modality is its first asset type."""
+    a = table(spark, d, "raw_doc_asset")
+    m = a.groupBy("manifest_id").agg(F.collect_list(F.struct("source_id")).alias("assets"), F.min("asset_type").alias("modality")).withColumns({"source_type": F.col("modality"), "load_mode": F.lit("full_snapshot"), "cursor_field": F.lit(None).cast("string")})
+    errors = quality.manifest_errors(m, {k: [k] for k in ("pdf", "html", "faq")}, ["full_snapshot", "incremental_cursor"])
+    return m.select("manifest_id", F.array_join(errors, ",").alias("reasons"))
+
+
+@query("""with v as (select source_id, sum(amount) amount from (select event_type source_id, 1 amount from events) group by 1) select 'metric_not_in_mart' as rule, 'revenue' as detail from v where not exists (select 1 from v where source_id = 'revenue') group by 1, 2
+  union all select 'metric_not_registered', source_id from v where source_id not in ('view', 'click', 'error') union all select 'dimension_not_in_view', x from (select unnest(['user_id', 'region']) x) where x not in (select column_name from (describe events))""")
+def registry_errors(spark: SparkSession, d: str) -> DataFrame:
+    """A registry of metrics and dimensions against a table that holds the metrics by name."""
+    return quality.registry_errors(table(spark, d, "events"), "event_type", ["view", "click", "error", "revenue"], ["user_id", "region"])
+
+
+@query("""select count(*)::bigint as row_count, strftime(max(ts), '%Y-%m-%d') as freshness, 'tool_contract,metric_registry,safe_view,parameterized_sql' as policies from (select ts from events where event_type = 'error' and ts::date between date '2024-01-01' and date '2024-01-05' limit 500)""")
+def kpi_response_meta(spark: SparkSession, d: str) -> DataFrame:
+    """What accompanies a governed answer, over the events as a day's metric rows."""
+    view = table(spark, d, "events").select(F.to_date("ts").alias("metric_date"), F.lit("ticket_count").alias("metric_name"), "value", "event_type").where("event_type = 'error'").withColumnRenamed("value", "metric_value")
+    r = kpi.Request("admin", ["ticket_count"], "2024-01-01", "2024-01-05", limit=500)
+    return kpi.response_meta(kpi.kpi_query(view, r), r).select("row_count", F.date_format("freshness", "yyyy-MM-dd").alias("freshness"), "policies")

@@ -5,8 +5,10 @@ A query selects, filters, sorts and limits; it never aggregates, so leaving out
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -82,3 +84,14 @@ def kpi_query(view: DataFrame, r: Request) -> DataFrame:
         rows = rows.where(F.col("org_id").isin(*r.actor_org_ids))
     out = ["metric_date", "metric_name", *r.dimensions]
     return rows.select(*out, "metric_value").orderBy(*out, "metric_value").limit(r.limit)
+
+
+def fingerprint(r: Request) -> str:
+    """sha256 of the request's canonical JSON: equal for equal questions."""
+    return hashlib.sha256(json.dumps(asdict(r), sort_keys=True, default=list).encode()).hexdigest()
+
+
+def response_meta(rows: DataFrame, r: Request) -> DataFrame:
+    """One row beside an answer: number of rows, newest day among them, the policies applied and the question's fingerprint."""
+    policies, key = F.lit(",".join(policies_applied(r))), F.lit(fingerprint(r))
+    return rows.agg(F.count(F.lit(1)).alias("row_count"), F.max("metric_date").alias("freshness")).withColumns({"policies": policies, "query_fingerprint": key})
