@@ -72,7 +72,7 @@ _SURNAME_FIRST = re.compile(rf"{_HEAD}({_PART}),[ ]({_PART}){_TAIL}")
 _INITIAL = re.compile(rf"{_HEAD}({_LETTERS})\.(?:[ ]{_LETTERS}\.)?[ ]({_PART}){_TAIL}")
 _CUE = re.compile(rf"(?i:\b(?:{NAME_CUES}):?,?|\b(?:{TITLES})\.?)[ ]+(?=(?:(?i:{TITLES})\.?[ ])?({_PART})(?:[ ]{_LETTERS}\.)?([ ]|,[ ])({_PART}){_TAIL})")
 _CUED_PLACE = re.compile(rf"(?i:\b(?:{NAME_CUES}):?,?|\b(?:{TITLES})\.?)[ ]+$")
-_CUES = re.compile(rf"\b(?:{'|'.join(sorted(NAME_CUES.split('|') + TITLES.split('|'), key=len, reverse=True))})\b", re.I)
+_LAST_OF_CUES = frozenset(c.split()[-1] for c in NAME_CUES.split("|") + TITLES.split("|"))
 _SURE = re.compile(rf"(?:{SURE_CUES})\b", re.I)
 _TITLE = re.compile(TITLES, re.I)
 _TITLED = re.compile(r"\b(?i:mrs?|ms|dr|prof|herr|frau)\.?[ ]+$")
@@ -95,10 +95,10 @@ class Item:
     text: str = field(default="")
 
 
-def name_evidence(text: str) -> list[tuple[str, str]]:
-    """(given, follower) pairs, lower-cased, at places where names stand and in e-mail addresses (there both ways round)."""
+def name_evidence(text: str, cues: list[re.Match] | None = None) -> list[tuple[str, str]]:
+    """(given, follower) pairs, lower-cased, at places where names stand and in e-mail addresses (there both ways round). cues: the text's cues, if known."""
     out = []
-    for m in _CUE.finditer(text):
+    for m in _CUE.finditer(text) if cues is None else cues:
         a, sep, b = m[1].lower(), m[2], m[3].lower()
         out.append((b, a) if "," in sep else (a, b))
     if "@" in text:
@@ -108,9 +108,9 @@ def name_evidence(text: str) -> list[tuple[str, str]]:
     return [p for p in out if not _TITLE.fullmatch(p[0])]
 
 
-def sure_places(text: str) -> list[str]:
+def sure_places(text: str, cues: list[re.Match]) -> list[str]:
     """The capitalised words, lower-cased, of pairs after phrases that only a name follows ("reported by"; not "regards", which a team may follow)."""
-    return [w.lower() for m in _CUE.finditer(text) if _SURE.match(text, m.start()) and {_case(m[1]), _case(m[3])} <= {"title", "upper"} for w in (m[1], m[3])]
+    return [w.lower() for m in cues if _SURE.match(text, m.start()) and {_case(m[1]), _case(m[3])} <= {"title", "upper"} for w in (m[1], m[3])]
 
 
 def _case(w: str) -> str:
@@ -127,40 +127,32 @@ def _surname(w: str, names: Names, sure: bool = False) -> bool:
     return low not in names.ordinary and not any(p in names.ordinary and len(p) > 3 for p in low.split("-")[:1])
 
 
-def _pairs_at(text: str, given: frozenset[str], cues: frozenset[int] = frozenset()) -> Iterator[tuple[re.Match, int]]:
-    """(match, group of the given name) of the name patterns, tried only where a given name, a cue or a middle initial says that a name may stand there.
+def _pairs_at(text: str, given: frozenset[str], cues: bool = False) -> Iterator[tuple[re.Match, int]]:
+    """(match, group of the given name) of the name patterns, tried only where a given name, the last word of a cue (if asked for) or a middle initial says that a name may stand there.
 
     The consumer may send the offset from which to go on; without it the next word is tried.
     """
-    for rx, given_at in ((_GIVEN, 1), (_SURNAME_FIRST, 2)):
-        at = 0
-        for w in WORD.finditer(text):
-            a, b = w.span()
-            if a < at:
-                continue
-            if given_at == 1:
-                may = text[b : b + 1] == " " and (a in cues or w[0].lower() in given or text[b + 2 : b + 4] == ". ")
-            else:
-                may = text[b : b + 2] == ", "
-            if may and (m := rx.match(text, a)):
-                at = (yield m, given_at) or b
-
-
-def cue_ends(text: str) -> frozenset[int]:
-    """Offsets at which a word stands right after a cue or title."""
-    out = set()
-    for m in _CUES.finditer(text):
-        e = m.end()
-        while text[e : e + 1] in (":", ",", ".") and e < m.end() + 2:
-            e += 1
-        if text[e : e + 1] == " ":
-            out.add(e + len(text[e:]) - len(text[e:].lstrip(" ")) if text[e + 1 : e + 2] == " " else e + 1)
-    return frozenset(out)
-
-
-def name_places(text: str, given: frozenset[str] = frozenset(), cues: bool = True) -> tuple[set[tuple[int, int]], set[tuple[int, int]]]:
-    """Spans of the words at cues and titles (if asked for), and of those beside given names or after initials."""
-    cued = {s for m in _CUE.finditer(text) for s in (m.span(1), m.span(3))} if cues else set()
+    words, places, before, end = [], [], "", 0
+    for w in WORD.finditer(text):
+        a, b = w.span()
+        low = w[0].lower()
+        words.append((a, b))
+        if text[b : b + 1] == " " and (low in given or (cues and before in _LAST_OF_CUES and not text[end:a].strip(" :,.")) or text[b + 2 : b + 4] == ". "):
+            places.append((a, b))
+        before, end = low, b
+    at = 0
+    for a, b in places:
+        if a >= at and (m := _GIVEN.match(text, a)):
+            at = (yield m, 1) or b
+    at = 0
+    for a, b in words if ", " in text else ():
+        if a >= at and text[b : b + 2] == ", " and (m := _SURNAME_FIRST.match(text, a)):
+            at = (yield m, 2) or b
+
+
+def name_places(text: str, given: frozenset[str] = frozenset(), cues: list[re.Match] | None = None) -> tuple[set[tuple[int, int]], set[tuple[int, int]]]:
+    """Spans of the words at cues and titles (those of ``cues``), and of those beside given names or after initials."""
+    cued = {s for m in cues or () for s in (m.span(1), m.span(3))}
     beside = {m.span(2) for m in _INITIAL.finditer(text) if m[1].isupper() and _case(m[2]) in ("title", "upper")}
     if given:
         for m, given_at in _pairs_at(text, given):
@@ -171,7 +163,7 @@ def name_places(text: str, given: frozenset[str] = frozenset(), cues: bool = Tru
 
 
 def find_names(text: str, names: Names) -> Iterator[Item]:
-    walk = _pairs_at(text, names.given, cue_ends(text))
+    walk = _pairs_at(text, names.given, True)
     found = next(walk, None)
     while found:
         m, given_at = found
@@ -388,15 +380,17 @@ def learn_names(texts: DataFrame, cols: Sequence[str]) -> Names:
                 for t in row:
                     if not isinstance(t, str):
                         continue
-                    pairs.update(name_evidence(t))
+                    cues = list(_CUE.finditer(t))
+                    pairs.update(name_evidence(t, cues))
                     if "@" in t:
                         seen.update(WORD.findall(t.lower()))
                         t = EMAIL.sub(" . ", t)
+                        cues = list(_CUE.finditer(t))
                     words = WORD.findall(t.lower())
                     seen.update(words)
                     total.update(words)
-                    cued.update(t[x:y].lower() for x, y in set().union(*name_places(t)))
-                    sure.update(sure_places(t))
+                    cued.update(t[x:y].lower() for x, y in set().union(*name_places(t, cues=cues)))
+                    sure.update(sure_places(t, cues))
                 texts.update(seen)
             out = [(w, None, n, total[w], cued[w], sure[w]) for w, n in texts.items()] + [(g, f, n, None, None, None) for (g, f), n in pairs.items()]
             yield pd.DataFrame(out, columns=["word", "follower", *counts]).astype({c: "Int64" for c in counts})
@@ -407,7 +401,7 @@ def learn_names(texts: DataFrame, cols: Sequence[str]) -> Names:
             placed: Counter[str] = Counter()
             for t in (t for row in b[list(cols)].itertuples(index=False) for t in row if isinstance(t, str)):
                 t = EMAIL.sub(" . ", t) if "@" in t else t
-                placed.update(w for x, y in name_places(t, given, False)[1] if (w := t[x:y].lower()) in frequent)
+                placed.update(w for x, y in name_places(t, given)[1] if (w := t[x:y].lower()) in frequent)
             yield pd.DataFrame(list(placed.items()), columns=["word", "placed"])
 
     n, counts = texts.count(), ("n", "total", "cued", "sure")
